@@ -1,0 +1,118 @@
+"""URL filter: host and path rules, and for other URLs a ratio of character language models.
+
+One projection of built-in functions over the URL column; nothing is shuffled, and the rules and the model
+table that go with the plan don't grow with the data.
+"""
+
+from __future__ import annotations
+
+import random
+from functools import cache
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import ascii_lower, let
+from .markov import Ratio, fit
+
+#: (verdict, host, path)
+RULES = (
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+)
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0.-/"
+ORDER = 2
+
+_REJECTED = (
+    "casino bet bets betting poker slots jackpot win winner lottery roulette gamble pills pharma viagra cialis meds "
+    "adult xxx porn sex escort nude cam dating spam farm ads ad track tracker click clicks banner popup promo free cheap "
+    "discount deal loan loans payday credit cash crypto bitcoin forex crack keygen warez torrent replica fake followers "
+    "seo backlinks download hack cheat prize gift offer bonus"
+).split()
+_ACCEPTED = (
+    "news blog science history library museum school university research journal archive garden kitchen travel weather "
+    "music theatre theory nature health doctor hospital city council river mountain forest north south western eastern "
+    "thread thought other brother weather mother there thing think nation station motion notion question section letter "
+    "house street market station bridge winter summer morning evening paper writer reader teacher student program "
+    "software hardware engine physics chemistry biology planet ocean island harbour village country people culture "
+    "language grammar poetry novel story chapter author editor press radio film photo camera painting drawing cooking "
+    "running cycling football tennis chess puzzle family children parents friends community open source code data"
+).split()
+
+
+def labelled_urls(n: int = 1200, seed: int = 11) -> tuple[list[str], list[str]]:
+    """``n`` rejected and ``n`` accepted addresses: both kinds get the same subdomains, domains and paths, and
+    differ in the words that name the site."""
+    rng = random.Random(seed)
+
+    def address(words: list[str]) -> str:
+        name = rng.choice(("", "-")).join(rng.sample(words, rng.choice((1, 2, 2))))
+        site = rng.choice(("", "", "www.", "m.", "blog.")) + name + "." + rng.choice(("example.", "")) + rng.choice(("com", "net", "org"))
+        path = rng.choice(("/", "/en/", "/de/", "/fr/", "/es/")) + rng.choice(("", str(rng.randint(1, 9999)))) + rng.choice(("", "", ".html", "/"))
+        return normalised_text(site + path)
+
+    return [address(_REJECTED) for _ in range(n)], [address(_ACCEPTED) for _ in range(n)]
+
+
+def normalised_text(address: str) -> str:
+    return "".join("0" if c.isdigit() and c.isascii() else c for c in address)
+
+
+@cache
+def model() -> Ratio:
+    return fit(*labelled_urls(), ALPHABET, ORDER, cost=10)
+
+
+def host_of(url: Column) -> Column:
+    return ascii_lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+
+
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+
+
+def _ordered(rules) -> list[tuple[str, str, str]]:
+    return sorted(rules, key=lambda r: -len(r[1] + r[2]))
+
+
+def judge(pages: DataFrame, url: str = "url", into: str = "url_verdict", rules=RULES, ratio: Ratio | None = None) -> DataFrame:
+    """``pages`` with a struct ``into`` (replaced if there): host, path, rule, verdict.
+
+    A rule fits its host and all subdomains if the path starts with its path; the longest rule wins, and the
+    rule's text is host and path. Without a rule the models decide: the address (host and path, digits as 0)
+    is blocked if its log-likelihood ratio reaches the calibrated threshold a character. A null URL or one
+    without :// has an empty host and path, no rule, and is allowed. Other columns pass through.
+    """
+    ratio = ratio or model()
+    col = F.col(f"`{url}`")
+    parts = pages.withColumn(into, F.struct(host_of(col).alias("host"), path_of(col).alias("path")))
+    host, path = F.col(f"`{into}`")["host"], F.col(f"`{into}`")["path"]
+    rule, verdict = F.lit(None).cast("string"), None
+    for kind, h, p in reversed(_ordered(rules)):
+        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
+        rule = F.when(fits, F.lit(h + p)).otherwise(rule)
+        verdict = F.when(fits, F.lit(kind)) if verdict is None else F.when(fits, F.lit(kind)).otherwise(verdict)
+    address = F.regexp_replace(F.concat(host, F.lower(path)), "[0-9]", "0")
+    guess = let(address, lambda a: F.when((a != "") & ratio.taken(a), "block").otherwise("allow"))
+    verdict = guess if verdict is None else F.coalesce(verdict, guess)
+    return parts.withColumn(into, F.struct(host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("verdict")))
+
+
+def sql(table: str = "pages", rules=RULES, ratio: Ratio | None = None) -> str:
+    ratio = ratio or model()
+    fits = [(f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')", k, h + p) for k, h, p in _ordered(rules)]
+    by_rule = " ".join(f"when {f} then '{name}'" for f, _, name in fits)
+    by_kind = " ".join(f"when {f} then '{k}'" for f, k, _ in fits)
+    return f"""
+    with parts as (
+      select page_id,
+             translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+             regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from {table}),
+    named as (select *, regexp_replace(host || lower(path), '[0-9]', '0', 'g') as address from parts),
+    scored as (select *, {ratio.sql("address")} as score from named)
+    select page_id, host, path, case {by_rule} end as rule,
+           case {by_kind} when address <> '' and score >= {ratio.threshold} * length(address) then 'block' else 'allow' end as verdict
+    from scored"""
