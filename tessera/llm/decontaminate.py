@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 An item with an error budget of e is split into e + 1 pieces: wherever it occurs with at most e edits, one
-piece occurs exactly. Piece hits are found by one vectorised look-up of 16-byte windows over whole batches of
+piece occurs exactly. Piece hits are found by one vectorised look-up of 12-byte windows over whole batches of
 text, and each is verified by Myers' bit-parallel edit distance around the place it implies. Documents are
 scanned where they lie, without a shuffle; items go along in blocks of bounded size, so a large benchmark
 costs more passes and never more memory.
@@ -18,9 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PIECE = 16
+#: Every piece has at least so many bytes, and the index holds so many of each; from 8 to 16.
+PIECE = 12
 #: One edit is allowed for each so many bytes of an item.
-BYTES_AN_EDIT = 20
+BYTES_AN_EDIT = 12
 #: Items broadcast at once, in bytes of their texts.
 BLOCK_BYTES = 8_000_000
 SLICE = 4_000_000
@@ -40,7 +41,7 @@ def normalise(text: str) -> bytes:
 
 
 def budget(item: bytes) -> int:
-    """The edits allowed: one a 20 bytes, as long as every piece keeps 16 bytes."""
+    """The edits allowed: one a BYTES_AN_EDIT bytes, as long as every piece keeps PIECE bytes."""
     return max(0, min(len(item) // BYTES_AN_EDIT, len(item) // PIECE - 1))
 
 
@@ -90,26 +91,27 @@ class Index:
             starts = pieces(item) if len(item) >= PIECE else []
             for at, to in zip(starts, [*starts[1:], len(item)], strict=False):
                 self.pieces[i, at] = item[at:to]
-                found[self._hash(np.frombuffer(item[at : at + PIECE], dtype="<u8")[None])[0].item()].append((i, at))
+                found[self._hash(item[at : at + PIECE])[0].item()].append((i, at))
         self.hashes = np.array(sorted(found), dtype=np.uint64)
         self.at = [found[int(h)] for h in self.hashes]
         self.filter = np.zeros(1 << _BITS, dtype=bool)
         self.filter[self.hashes >> np.uint64(64 - _BITS)] = True
 
     @staticmethod
-    def _hash(halves: np.ndarray) -> np.ndarray:
-        mixed = halves[:, 0] * _K1 ^ halves[:, 1] * _K2
-        return (mixed ^ (mixed >> np.uint64(32))) * _K1
+    def _hash(flat: bytes) -> np.ndarray:
+        """A hash of the PIECE bytes at every position: of their first and last eight."""
+        word = np.ndarray(len(flat) - 7, dtype="<u8", buffer=flat, strides=(1,))
+        mixed = word[: len(flat) - PIECE + 1] * _K1
+        mixed ^= word[PIECE - 8 :] * _K2
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _K1
+        return mixed
 
     def hits(self, flat: bytes) -> Iterator[tuple[int, int, int]]:
         """(position, item, offset of the piece in the item) of every window of ``flat`` equal to a piece."""
         if len(flat) < PIECE or not len(self.hashes):
             return
-        word = np.ndarray(len(flat) - 7, dtype="<u8", buffer=flat, strides=(1,))
-        mixed = word[: len(flat) - 15] * _K1
-        mixed ^= word[8:] * _K2
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= _K1
+        mixed = self._hash(flat)
         places = np.flatnonzero(self.filter[mixed >> np.uint64(64 - _BITS)])
         which = np.searchsorted(self.hashes, mixed[places])
         which[which == len(self.hashes)] = 0
@@ -205,7 +207,7 @@ def leaks(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", it
     """The items of ``benchmark`` in the column ``text``, as a column: array<struct<item_id, distance, start, end>>.
 
     An item is in a text if, both normalised, some stretch of the text is within the item's error budget of
-    it. Null texts hold nothing. Items that are null, have no id or fewer than 16 normalised bytes are passed
+    it. Null texts hold nothing. Items that are null, have no id or fewer than PIECE normalised bytes are passed
     over: chance alone puts those anywhere. Items that share an id count as that id.
     """
     found = [_searcher(index)(F.col(f"`{text}`")) for index in _blocks(benchmark, item_id, item_text)]
