@@ -1 +1 @@
-"""See the modules."""
+"""Column functions: binary layouts, paths, scores and code tables."""

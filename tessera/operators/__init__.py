@@ -1 +1 @@
-"""See the modules."""
+"""Operators on snapshots: match, classify, encode, apply, verify, summarise."""

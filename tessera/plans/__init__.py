@@ -1 +1 @@
-"""See the modules."""
+"""Plan building blocks, the application interface and the query catalogue."""

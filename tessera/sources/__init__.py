@@ -1 +1 @@
-"""See the modules."""
+"""Readers and writers: superblocks, pseudo-files, delta containers, tables."""
