@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch as Scratch
+
 #: The white space of the word definition: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 NO_ID = 2**63 - 1
@@ -36,40 +36,3 @@ def ascii_lower(text: Column) -> Column:
 def row_keys(docs: DataFrame, text: str, doc_id: str) -> tuple[Column, Column]:
     """What names a row: its id (NO_ID for null), and XXH64 of its text, as ids may repeat."""
     return F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        place = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(place)
-    return place
-
-
-class Scratch:
-    """Tables in the shared folder that cut lineage; every executor can read them back after a loss.
-
-    ``keep(df)`` writes and rereads. ``drop(df)`` removes what an earlier ``keep`` wrote, once nothing reads it.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{shared_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.base}/{self.count}"
-        df.write.parquet(path)
-        back = self.spark.read.schema(df.schema).parquet(path)
-        back._scratch_path = path
-        return back
-
-    def drop(self, df: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
