@@ -217,7 +217,7 @@ def _expected(e: list[float], step, start: float) -> tuple[list[float], np.ndarr
     return one, steps
 
 
-def train(pages: Iterable[tuple[list[Block], list[int]]], epochs: int = 30, rate: float = 0.5, decay: float = 1e-3) -> Field:
+def train(pages: Iterable[tuple[list[Block], list[int]]], epochs: int = 20, rate: float = 0.5, decay: float = 1e-3) -> Field:
     """Maximum conditional likelihood by AdaGrad over the pages in order, with weight decay; deterministic."""
     pages = [(b, y) for b, y in pages if b]
     names = sorted({f for b, _ in pages for x in b for f in x.features})
@@ -253,7 +253,7 @@ _MAIN = (("article", ""), ("article", "post"), ("main", ""), ("div", "content"),
 _SYLLABLES = "ba de ki lo mu na per ro sta ti un ver wo ya zen".split()
 
 
-def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
+def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[int]]]:
     """``n`` made-up pages, and which of their leaf blocks are main text: an article under one of the usual
     containers, and menus, headers, footers, sidebars, notices, adverts, forms and comments around and in it."""
     rng = random.Random(seed)
@@ -287,7 +287,7 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
     def body(labels: list[int]) -> str:
         out = []
         for _ in range(rng.randint(1, 9)):
-            kind = rng.randrange(12)
+            kind = rng.randrange(14)
             k = 1
             if kind < 7:
                 piece = f"<p>{sentences(6)}</p>"
@@ -300,7 +300,7 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
                 piece, k = f"<p><b>{words(1, 6)}<br><p>{sentences(2)}</p>", 2
             elif kind == 10:
                 piece = rng.choice((f"<blockquote>{sentences(2)}</blockquote>", f"<pre>{words(2, 9)}</pre>", f'<p><a href="/y">{words(2, 8)}</a> {words(1, 4)}.</p>', f"<p>{words(1, 3)}</p>"))
-            elif rng.random() < 0.5:
+            elif kind > 11:
                 piece, k = aside(labels), 0
             else:
                 k = rng.randint(2, 4)

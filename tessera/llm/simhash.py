@@ -42,8 +42,9 @@ BANDS, ROWS = 16, 4
 #: Largest Hamming distance of 64 bits at which a pair goes on to the exact check. At a similarity of 0.8 a
 #: bit differs with probability 0.15: 9.7 bits, standard deviation 2.9.
 NEAR_BITS = 22
-#: Every group of bands ranks documents by a hash of its own, so that a group's links don't hang on one document.
-RANKS = 4
+#: The links that these many bands propose are verified first; those of the others only where they would join
+#: two classes.
+FIRST = 4
 
 
 def _shingle_hashes(raw: bytes, words: int) -> Iterator[np.ndarray]:
@@ -272,10 +273,10 @@ _FOUND = "band int, k bigint, rank bigint, fp bigint, rep bigint, leader bigint"
 
 def _leaders(band, k, rank, fp, rep) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (band, k, rank): a row of a bucket joins the bucket's first leader within NEAR_BITS, or
-    leads. The links come back as (rep, leader), the leaders with their bucket and a null leader."""
+    leads. The links come back as (band, rep, leader), the leaders with their bucket and a null leader."""
     new = (band[1:] != band[:-1]) | (k[1:] != k[:-1])
     edges = np.concatenate(([0], np.flatnonzero(new) + 1, [len(k)]))
-    leads, member, leader = np.ones(len(k), dtype=bool), [], []
+    leads, member, leader, by = np.ones(len(k), dtype=bool), [], [], []
     for i in np.flatnonzero(np.diff(edges) > 1):
         rest = np.arange(edges[i], edges[i + 1])
         fps = fp.view(np.uint64)
@@ -286,12 +287,13 @@ def _leaders(band, k, rank, fp, rep) -> Iterator[pa.RecordBatch]:
             leads[rest[hit]] = False
             member.append(rep[rest[hit]])
             leader.append(np.full(len(hit), rep[lead]))
+            by.append(np.full(len(hit), band[lead]))
             rest = np.delete(rest, hit)
     schema = pa.schema([("band", pa.int32()), *[(c, pa.int64()) for c in ("k", "rank", "fp", "rep", "leader")]])
     yield pa.RecordBatch.from_arrays([pa.array(x[leads]) for x in (band, k, rank, fp, rep)] + [pa.nulls(int(leads.sum()), pa.int64())], schema=schema)
     if member:
         got, n = np.concatenate(member), sum(map(len, member))
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 3, pa.array(got), pa.array(np.concatenate(leader))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(by)), *[pa.nulls(n, pa.int64())] * 3, pa.array(got), pa.array(np.concatenate(leader))], schema=schema)
 
 
 def _within_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +305,7 @@ def _within_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             k = batch.column(2).flatten().to_numpy()
             band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
             with np.errstate(over="ignore"):
-                rank = ((rep.view(np.uint64) ^ _ADD[band % RANKS]) * _MULTIPLY[band % RANKS] >> np.uint64(1)).view(np.int64)
+                rank = ((rep.view(np.uint64) ^ _ADD[band]) * _MULTIPLY[band] >> np.uint64(1)).view(np.int64)
             order = np.lexsort((rank, k, band))
             yield from _leaders(*(x[order] for x in (band, k, rank, fp, rep)))
 
@@ -330,7 +332,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Texts link if the Jaccard similarity of their sets of ``words``-word shingles is at least ``similarity``;
     texts of the same words are one sketch. Similar pairs share one of 16 minwise bands with probability
-    0.9998 at 0.8. Each bucket proposes links from members to leaders, in four different orders of leaders,
+    0.9998 at 0.8. Each bucket proposes links from members to leaders, with leaders chosen anew in every band,
     and a proposed link counts if the exact similarity (of 32-bit shingle hashes) reaches the bound.
     """
     scratch = Scratch(docs.sparkSession, "near")
@@ -341,17 +343,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     each = marked.groupBy("sketch").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     within = scratch.keep(each.select("sketch", "fp", "bands").mapInArrow(_within_batches, _FOUND))
     heads = within.where("leader is null").select("band", "k", "rank", "fp", "rep").repartition("band", "k").sortWithinPartitions("band", "k", "rank")
-    proposed = within.where("leader is not null").select("rep", "leader").unionByName(heads.mapInArrow(_across_batches, _FOUND).select("rep", "leader"))
-    pairs = scratch.keep(proposed.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct())
+    proposed = within.where("leader is not null").select("band", "rep", "leader").unionByName(heads.mapInArrow(_across_batches, _FOUND).select("band", "rep", "leader"))
+    pairs = scratch.keep(proposed.groupBy(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).agg(F.min("band").alias("band")))
+
+    def verified(some: DataFrame) -> DataFrame:
+        return _similar(docs, text, doc_id, words, similarity, marked, some.select("a", "b"), scratch)
+
+    found = scratch.keep(verified(pairs.where(F.col("band") < FIRST)))
+    cls = scratch.keep(components(found, scratch))
+    of = lambda c: cls.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    rest = pairs.where(F.col("band") >= FIRST).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = scratch.keep(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    more = verified(apart)
+    roots = components(cls.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch).withColumnRenamed("node", "sketch")
+    return marked.select("id", "body", "sketch").join(roots, "sketch", "left").select("id", "body", "sketch", F.coalesce("root", "sketch").alias("cls"))
+
+
+def _similar(docs: DataFrame, text: str, doc_id: str, words: int, similarity: float, marked: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of sketches whose texts' shingle sets are similar enough."""
+    ident, key = row_keys(docs, text, doc_id)
+    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     # one row of each text in a pair
     named = pairs.select(F.explode(F.array("a", "b")).alias("sketch")).distinct()
     wanted = marked.join(named, "sketch").groupBy("sketch").agg(F.min(F.struct("id", "body")).alias("r")).select("sketch", "r.*")
     raw = docs.select(ident.alias("id"), key.alias("body"), body.alias("raw")).join(wanted, ["id", "body"]).dropDuplicates(["sketch"])
     sets = scratch.keep(raw.select("sketch", _shingle_sets(words)("raw").alias("s")))
     one, two = (sets.select(F.col("sketch").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    same = pairs.join(one, "a").join(two, "b").where(_jaccard_at_least(similarity)("sa", "sb")).select("a", "b")
-    roots = components(same, scratch).withColumnRenamed("node", "sketch")
-    return marked.select("id", "body", "sketch").join(roots, "sketch", "left").select("id", "body", "sketch", F.coalesce("root", "sketch").alias("cls"))
+    return pairs.join(one, "a").join(two, "b").where(_jaccard_at_least(similarity)("sa", "sb")).select("a", "b")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
