@@ -1,0 +1,155 @@
+import random
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from tessera.__main__ import parser
+from tessera.operators import blocks, classify, codec, delta, whole
+from tessera.plans import api
+from tessera.sources import pseudo, snapshots
+
+
+def pair(spark, seed=1, n=40):
+    rng = random.Random(seed)
+    body = lambda: bytes(rng.choices(b"abcdefgh \x00\xff\n", k=rng.choice((0, 1, 7, 8, 9, 500, 3000))))
+    old = {f"d/f{i}.v{rng.randint(1, 2)}": body() for i in range(n)}
+    new = {}
+    for p, c in old.items():
+        kind = rng.randrange(5)
+        if kind == 0:
+            new[p] = c
+        elif kind == 1:
+            new[p] = c[: len(c) // 2] + b"+" + c[len(c) // 2 :]
+        elif kind == 2:
+            new[p.replace(".v", ".v3")] = c + b"tail"
+        elif kind == 3:
+            new["other/" + p] = body()
+    frames = [spark.createDataFrame([(p, bytearray(c)) for p, c in x.items()], "path string, content binary") for x in (old, new)]
+    return old, new, snapshots.of_table(frames[0]), snapshots.of_table(frames[1])
+
+
+@pytest.mark.parametrize("mode", ["best", "compat"])
+@pytest.mark.parametrize("name", ["zstd", "store"])
+def test_round_trip(spark, name, mode):
+    _, new, s, t = pair(spark)
+    table = delta.generate(s, t, name, mode)
+    got = {r["path"]: bytes(r["content"]) for r in delta.apply(table, s, name).collect()}
+    assert got == new
+    assert delta.verify(delta.apply(table, s, name), t.entries).count() == 0
+    assert table.where("status = 'identical' and patch is not null").count() == 0
+
+
+def test_verify_names_each_problem(spark):
+    t = snapshots.of_table(spark.createDataFrame([("a", "1"), ("b", "22"), ("c", "333")], "path string, content string"))
+    bad = spark.createDataFrame([("a", bytearray(b"1")), ("b", bytearray(b"2")), ("x", bytearray(b""))], "path string, content binary")
+    wrong = bad.unionByName(spark.createDataFrame([("c", bytearray(b"334"))], "path string, content binary"))
+    assert {tuple(r) for r in delta.verify(bad, t.entries).collect()} == {("b", "size"), ("c", "missing"), ("x", "extra")}
+    assert ("c", "content") in {tuple(r) for r in delta.verify(wrong, t.entries).collect()}
+
+
+def test_a_missing_source_is_an_error(spark):
+    _, _, s, t = pair(spark)
+    table = delta.generate(s, t)
+    gone = snapshots.Snapshot(s.entries, s.payload.where("false"))
+    with pytest.raises(PySparkException):
+        delta.apply(table, gone).collect()
+
+
+def test_codecs():
+    rng = random.Random(4)
+    big = rng.randbytes(300_000)
+    for source, target in ((b"", b""), (b"1234567", b"x"), (b"12345678", b"12345678"), (big, big[:1000] + b"edit" + big[1000:])):
+        patch = codec.zstd_encode(source, target)
+        assert codec.zstd_decode(source, patch) == target
+    assert len(patch) < 2000
+    with pytest.raises(ValueError):
+        codec.codec("nothing")
+    with pytest.raises(ValueError):
+        codec.by_tool(0x99)
+
+
+def test_external_tools_run_on_files(tmp_path):
+    tool = tmp_path / "tool"
+    tool.write_text("#!/bin/sh\ncat \"$2\" > \"$3\"\n")
+    tool.chmod(0o755)
+    c = codec.external("fake", 0x77, [str(tool), "{source}", "{target}", "{patch}"], [str(tool), "{source}", "{patch}", "{target}"])
+    assert c.available() and c.decode(b"s", c.encode(b"s", b"target")) == b"target"
+    assert not codec.external("none", 0x78, ["no-such-tool"], ["no-such-tool"]).available()
+
+
+@pytest.mark.parametrize("size", [4, 64])
+def test_block_codec_round_trip(spark, size):
+    rng = random.Random(5)
+    made = [(0, b"", b""), (1, b"", b"abc"), (2, b"abc" * 50, b""), (3, b"x" * 300, b"x" * 301), (4, rng.randbytes(1000), b"")]
+    made[4] = (4, made[4][1], made[4][1][:256] + b"!" + made[4][1][256:])
+    df = spark.createDataFrame([(i, bytearray(s), bytearray(t)) for i, s, t in made], "ti bigint, source binary, target binary")
+    got = df.join(blocks.encode(df, size), "ti").select("ti", blocks.decode(F.col("source"), F.col("ops"), size).alias("c"))
+    assert {r["ti"]: bytes(r["c"]) for r in got.collect()} == {i: t for i, _, t in made}
+    if size == 64:
+        assert blocks.summary(df).where("ti = 3").first()["copied"] == 4
+
+
+def test_whole_mode(spark):
+    _, new, s, t = pair(spark, 2)
+    patch = whole.generate(s, t)
+    assert {r["path"]: bytes(r["content"]) for r in whole.apply(s, patch).collect()} == new
+    with pytest.raises(ValueError):
+        whole.entries_of(b"5 a\n\nabc")
+
+
+def write(spark, path, entries):
+    df = spark.createDataFrame([(i, p, bytearray(c)) for i, (p, c) in enumerate(entries.items())], "idx bigint, path string, content binary")
+    pseudo.write_pseudo(df, str(path))
+
+
+def test_generate_and_apply_by_path(spark, tmp_path):
+    old, new, *_ = pair(spark, 3)
+    write(spark, tmp_path / "old", old)
+    write(spark, tmp_path / "new", new)
+    for granularity in api.GRANULARITIES:
+        out = str(tmp_path / granularity)
+        summary = api.generate(spark, str(tmp_path / "old"), str(tmp_path / "new"), out, granularity=granularity)
+        assert summary.count() >= 1
+        api.apply(spark, str(tmp_path / "old"), out, str(tmp_path / f"made-{granularity}"))
+        got = pseudo.read_pseudo(spark, str(tmp_path / f"made-{granularity}")).collect()
+        assert {r["path"]: bytes(r["content"]) for r in got} == new
+    with pytest.raises((ValueError, PySparkException)):
+        api.apply(spark, str(tmp_path / "new"), str(tmp_path / "entry")).collect()
+
+
+def test_containers_by_path(spark, tmp_path):
+    old, new, *_ = pair(spark, 6)
+    write(spark, tmp_path / "old", old)
+    write(spark, tmp_path / "new", new)
+    api.export_container(spark, str(tmp_path / "old"), str(tmp_path / "new"), str(tmp_path / "delta"))
+    got = api.import_container(spark, str(tmp_path / "old"), str(tmp_path / "delta")).orderBy("idx").collect()
+    assert [(r["path"], bytes(r["content"])) for r in got] == list(new.items())
+    (tmp_path / "bad").write_bytes(b"nope" + (tmp_path / "delta").read_bytes()[4:])
+    with pytest.raises(ValueError):
+        api.import_container(spark, str(tmp_path / "old"), str(tmp_path / "bad"))
+
+
+def test_saved_snapshots(spark, tmp_path):
+    _, new, _, t = pair(spark, 7)
+    snapshots.save(t, str(tmp_path / "t"))
+    again = snapshots.open_snapshot(spark, str(tmp_path / "t"))
+    assert {r["path"]: bytes(r["content"]) for r in again.payload.collect()} == new
+
+
+def test_summary_counts_records(spark):
+    _, new, s, t = pair(spark, 8)
+    table = delta.generate(s, t)
+    got = {r["status"]: r for r in classify.summary(table, F.col("patch_size")).collect()}
+    assert sum(r["entries"] for r in got.values()) == len(new)
+    assert got["identical"]["record_bytes"] == 8 * got["identical"]["entries"]
+    whole_ = classify.summary_rollup(table).where("directory is null").first()
+    assert whole_["entries"] == len(new) and whole_["target_bytes"] == sum(map(len, new.values()))
+
+
+def test_command_line():
+    p = parser()
+    assert p.parse_args(["generate", "-s", "a", "-t", "b", "-d", "c", "--xdelta3"]).xdelta3
+    for bad in (["generate"], ["diff", "-s", "a", "-t", "b", "-d", "c"]):
+        with pytest.raises(SystemExit):
+            p.parse_args(bad)

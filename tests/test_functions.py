@@ -1,0 +1,70 @@
+import itertools
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from tessera.functions import binary, codes, paths, scoring
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(("a", "b", "match"), [("a/libx.so.1", "a/libx.so.2", 2), ("a1/b2", "a2/b3", 3), ("a/b", "a/b/c", 0), ("a/x", "a/y", 0), ("a/b", "a/b", 1), ("x86_64/a", "x86_32/a", 2)])
+def test_fuzzy_match(spark, a, b, match):
+    assert one(spark, paths.fuzzy_match(F.lit(a), F.lit(b))) == match
+
+
+def test_escapes_round_trip(spark):
+    for name in ("plain", "with space", "back\\slash", "end\\", " \\ "):
+        assert one(spark, paths.unescape(paths.escape(F.lit(name)))) == name
+    assert one(spark, paths.unescape(F.lit("a\\n"))) == "a\\n"
+
+
+def test_acceptance_table(spark):
+    sizes, distances, matches = [(10, 10), (10, 20), (10, 21), (0, 0), (0, 5)], range(1, 20), (2, 3, 4)
+    data = [(a, b, d, m) for (a, b), d, m in itertools.product(sizes, distances, matches)]
+    df = spark.createDataFrame(data, "a bigint, b bigint, d int, m int")
+    similar = scoring.sizes_within_two(F.col("a"), F.col("b"))
+    for r in df.select("*", similar.alias("s"), (scoring.score(similar, F.col("d"), F.col("m")) > scoring.THRESHOLD).alias("ok")).collect():
+        reach = (15 if r["m"] == 2 else 5) if r["s"] else (5 if r["m"] == 2 else 0)
+        assert r["ok"] == (r["d"] <= reach), r
+    found = {(r["a"], r["b"]): r["s"] for r in df.select("a", "b", similar.alias("s")).distinct().collect()}
+    assert found == {(10, 10): True, (10, 20): True, (10, 21): False, (0, 0): True, (0, 5): False}
+
+
+@pytest.mark.parametrize("value", [0, 1, 255, 256, 2**31, 2**63 - 1, -1, -256, -(2**63)])
+def test_int64_round_trip(spark, value):
+    word = one(spark, binary.le_bytes(F.lit(value).cast("bigint"), 8))
+    assert bytes(word) == value.to_bytes(8, "little", signed=True)
+    assert one(spark, binary.le_int64(F.lit(bytearray(word)), 0)) == value
+
+
+def test_fields_of_short_values_are_null(spark):
+    assert one(spark, binary.le_uint(F.lit(bytearray(b"\xff\xff\xff")), 0, 4)) is None
+    assert one(spark, binary.le_uint(F.lit(bytearray(b"\x00\xff\xff\xff\xff")), 1, 4)) == 2**32 - 1
+
+
+def test_flags(spark):
+    df = spark.createDataFrame([(f,) for f in (0, 4, 0xC0, 0x2D0, 0x400)], "f int")
+    got = {r["f"]: (r["o"], r["e"]) for r in df.select("f", codes.rebuild_options(F.col("f")).alias("o"), codes.unsupported(F.col("f")).alias("e")).collect()}
+    assert got[0] == (["-no-duplicates"], None)
+    assert got[0xC0] == (["-exports"], None)
+    assert got[0x2D0] == (["-no-fragments", "-exports", "-no-xattrs"], None)
+    assert got[4][1] == "unused check flag" and got[0x400][1] == "compressor options"
+
+
+def test_codes(spark):
+    df = spark.range(8).select(F.col("id"), codes.compression_name(F.col("id")).alias("c"), codes.store_label(F.col("id")).alias("s"))
+    got = df.orderBy("id").collect()
+    assert [r["c"] for r in got] == [None, "gzip", "lzma", "lzo", "xz", "lz4", "zstd", None]
+    assert [r["s"] for r in got][:4] == ["xdelta3", "snap-1-1-xdelta3", "snap-1-1-Hdiffz", "unexpected"]
+    assert [r["format"] for r in codes.supported_formats(spark).orderBy("rank").collect()] == ["snap-1-1-Hdiffz", "snap-1-1-xdelta3", "xdelta3"]
+    head = spark.range(1).select(F.struct(F.lit(6).alias("comp"), F.lit(0xC0).alias("flags"), F.lit(17).alias("ts")).alias("h"))
+    assert head.select(codes.rebuild_arguments(F.col("h")).alias("a")).first()["a"] == ["-comp", "zstd", "-exports", "-mkfs-time", "17"]
+
+
+def test_ansi_errors_are_loud(spark):
+    with pytest.raises(PySparkException):
+        spark.sql("select cast('abc' as bigint)").collect()
