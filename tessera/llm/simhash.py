@@ -340,14 +340,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ident, key = row_keys(docs, text, doc_id)
     marked = docs.select(ident.alias("id"), key.alias("body"), _sketches(words)(body).alias("s"))
     marked = scratch.keep(marked.select("id", "body", F.xxhash64("s.words").alias("sketch"), "s.fp", "s.bands"))
-    each = marked.groupBy("sketch").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    # copies meet here only, and each task sends one row a sketch
+    each = scratch.keep(marked.groupBy("sketch").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("id", "body")).alias("r")))
     within = scratch.keep(each.select("sketch", "fp", "bands").mapInArrow(_within_batches, _FOUND))
     heads = within.where("leader is null").select("band", "k", "rank", "fp", "rep").repartition("band", "k").sortWithinPartitions("band", "k", "rank")
     proposed = within.where("leader is not null").select("band", "rep", "leader").unionByName(heads.mapInArrow(_across_batches, _FOUND).select("band", "rep", "leader"))
     pairs = scratch.keep(proposed.groupBy(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).agg(F.min("band").alias("band")))
 
     def verified(some: DataFrame) -> DataFrame:
-        return _similar(docs, text, doc_id, words, similarity, marked, some.select("a", "b"), scratch)
+        return _similar(docs, text, doc_id, words, similarity, each, some.select("a", "b"), scratch)
 
     found = scratch.keep(verified(pairs.where(F.col("band") < FIRST)))
     cls = scratch.keep(components(found, scratch))
@@ -359,13 +360,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return marked.select("id", "body", "sketch").join(roots, "sketch", "left").select("id", "body", "sketch", F.coalesce("root", "sketch").alias("cls"))
 
 
-def _similar(docs: DataFrame, text: str, doc_id: str, words: int, similarity: float, marked: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+def _similar(docs: DataFrame, text: str, doc_id: str, words: int, similarity: float, each: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of sketches whose texts' shingle sets are similar enough."""
     ident, key = row_keys(docs, text, doc_id)
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     # one row of each text in a pair
     named = pairs.select(F.explode(F.array("a", "b")).alias("sketch")).distinct()
-    wanted = marked.join(named, "sketch").groupBy("sketch").agg(F.min(F.struct("id", "body")).alias("r")).select("sketch", "r.*")
+    wanted = each.select("sketch", "r.*").join(named, "sketch")
     raw = docs.select(ident.alias("id"), key.alias("body"), body.alias("raw")).join(wanted, ["id", "body"]).dropDuplicates(["sketch"])
     sets = scratch.keep(raw.select("sketch", _shingle_sets(words)("raw").alias("s")))
     one, two = (sets.select(F.col("sketch").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
