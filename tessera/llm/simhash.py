@@ -281,6 +281,10 @@ def _leaders(band, k, rank, fp, rep) -> Iterator[pa.RecordBatch]:
         rest = np.arange(edges[i], edges[i + 1])
         fps = fp.view(np.uint64)
         table, base = distances(fps[rest]), rest[0]
+        # neighbours too, for members that are near each other and not near the leader
+        member.append(rep[rest[1:]])
+        leader.append(rep[rest[:-1]])
+        by.append(np.full(len(rest) - 1, BANDS, dtype=np.int32))
         while len(rest) > 1:
             lead, rest = rest[0], rest[1:]
             hit = near(fps[rest], fps[lead], table[:, rest - base], table[:, lead - base], NEAR_BITS)
@@ -333,7 +337,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Texts link if the Jaccard similarity of their sets of ``words``-word shingles is at least ``similarity``;
     texts of the same words are one sketch. Similar pairs share one of 16 minwise bands with probability
     0.9998 at 0.8. Each bucket proposes links from members to leaders, with leaders chosen anew in every band,
-    and a proposed link counts if the exact similarity (of 32-bit shingle hashes) reaches the bound.
+    and between neighbours; a proposed link counts if the exact similarity (of 32-bit shingle hashes) reaches the
+    bound. Proposals are two a member and band at most, however large a class is, so a class whose members are
+    similar only here and there may come apart; the tests measure that.
     """
     scratch = Scratch(docs.sparkSession, "near")
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
