@@ -13,7 +13,7 @@ buckets only:
 - ``near_duplicates``: minwise bands of the shingles, because a similarity of 0.8 is up to a third of the
   bits, beyond exact blocks; the pairs are verified by the exact similarity of their shingles.
 
-A bucket gives a spanning forest of its links, never all pairs. Copies are one fingerprint or one word
+A bucket gives links that join classes, never those inside a class. Copies are one fingerprint or one word
 sequence before any of this, so a text that a third of all rows hold costs one row.
 """
 
@@ -45,6 +45,8 @@ NEAR_BITS = 22
 #: The links that these many bands propose are verified first; those of the others only where they would join
 #: two classes.
 FIRST = 4
+#: So many members of a bucket, about, are held against its strays by one task.
+SALTED = 4096
 
 
 def _shingle_hashes(raw: bytes, words: int) -> Iterator[np.ndarray]:
@@ -281,10 +283,6 @@ def _leaders(band, k, rank, fp, rep) -> Iterator[pa.RecordBatch]:
         rest = np.arange(edges[i], edges[i + 1])
         fps = fp.view(np.uint64)
         table, base = distances(fps[rest]), rest[0]
-        # neighbours too, for members that are near each other and not near the leader
-        member.append(rep[rest[1:]])
-        leader.append(rep[rest[:-1]])
-        by.append(np.full(len(rest) - 1, BANDS, dtype=np.int32))
         while len(rest) > 1:
             lead, rest = rest[0], rest[1:]
             hit = near(fps[rest], fps[lead], table[:, rest - base], table[:, lead - base], NEAR_BITS)
@@ -336,10 +334,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Texts link if the Jaccard similarity of their sets of ``words``-word shingles is at least ``similarity``;
     texts of the same words are one sketch. Similar pairs share one of 16 minwise bands with probability
-    0.9998 at 0.8. Each bucket proposes links from members to leaders, with leaders chosen anew in every band,
-    and between neighbours; a proposed link counts if the exact similarity (of 32-bit shingle hashes) reaches the
-    bound. Proposals are two a member and band at most, however large a class is, so a class whose members are
-    similar only here and there may come apart; the tests measure that.
+    0.9998 at 0.8, and lie within NEAR_BITS but once in 50,000. A proposed link counts if the exact similarity
+    (of 32-bit shingle hashes) reaches the bound. First, each bucket proposes links from members to leaders only,
+    with leaders chosen anew in every band: one a member and band, however large a class is. Then ``_strays``
+    proposes whatever may still join two classes, so the classes are those of all pairs that share a bucket
+    within NEAR_BITS, and how rows are batched and which rows lead changes nothing.
     """
     scratch = Scratch(docs.sparkSession, "near")
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
@@ -361,11 +360,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     of = lambda c: cls.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     rest = pairs.where(F.col("band") >= FIRST).join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = scratch.keep(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    more = verified(apart)
-    roots = components(cls.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch).withColumnRenamed("node", "sketch")
+    edges = scratch.keep(cls.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(apart)))
+    cls = scratch.keep(components(edges, scratch))
+    left = scratch.keep(_strays(each.select("sketch", "fp", "bands").join(cls.withColumnRenamed("node", "sketch"), "sketch", "left"), pairs, scratch))
+    edges = cls.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(left))
+    roots = components(edges, scratch).withColumnRenamed("node", "sketch")
     return marked.select("id", "body", "sketch").join(roots, "sketch", "left").select("id", "body", "sketch", F.coalesce("root", "sketch").alias("cls"))
 
 
+def _strays(members: DataFrame, tried: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of sketches that share a bucket within NEAR_BITS, are of two classes, and were not tried.
+
+    ``members``: sketch, fp, bands, root (null: a class of its own). Two classes of a bucket meet only where a
+    stray takes part, a member outside the bucket's largest class; so the strays of a bucket, not its members,
+    are held against the whole bucket, and one pass is enough. Large buckets are dealt over salts.
+    """
+    rows = members.select("sketch", "fp", F.coalesce("root", "sketch").alias("cls"), F.explode("bands").alias("k"))
+    mixed = rows.groupBy("k").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    held = scratch.keep(rows.join(mixed.select("k", F.ceil(F.col("n") / SALTED).alias("salts")), "k"))
+    sizes = held.groupBy("k", "cls").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("k").agg(F.max(F.struct("n", "cls")).getField("cls").alias("largest"))
+    strays = held.join(largest, "k").where("cls <> largest").select("k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("sketch").alias("s"), F.col("fp").alias("sf"), F.col("cls").alias("sc"))
+    salted = held.select("k", F.pmod(F.xxhash64("sketch"), "salts").alias("salt"), "sketch", "fp", "cls")
+    met = salted.join(strays, ["k", "salt"]).where((F.col("cls") != F.col("sc")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("sf"))) <= NEAR_BITS))
+    return met.select(F.greatest("sketch", "s").alias("a"), F.least("sketch", "s").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def _similar(docs: DataFrame, text: str, doc_id: str, words: int, similarity: float, each: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of sketches whose texts' shingle sets are similar enough."""
     ident, key = row_keys(docs, text, doc_id)
