@@ -19,7 +19,7 @@ sequence before any of this, so a text that a third of all rows hold costs one r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -47,6 +47,8 @@ NEAR_BITS = 22
 FIRST = 4
 #: So many members of a bucket, about, are held against its strays by one task.
 SALTED = 4096
+#: Bits of the parities of a shingle set.
+PARITIES = 1024
 
 
 def _shingle_hashes(raw: bytes, words: int) -> Iterator[np.ndarray]:
@@ -243,18 +245,36 @@ def _sketches(words: int):
     return sketches
 
 
+def _shingle_set(raw: bytes, words: int) -> np.ndarray:
+    """The 32-bit hashes of a text's different shingles, in order."""
+    parts = [h >> np.uint64(32) for h in _shingle_hashes(raw, words)]
+    return np.unique(np.concatenate(parts).astype(np.uint32)) if parts else np.zeros(0, np.uint32)
+
+
 def _shingle_sets(words: int):
     @F.pandas_udf("binary")
     def sets(text: pd.Series) -> pd.Series:
-        def of(raw: bytes) -> bytes:
-            parts = [h >> np.uint64(32) for h in _shingle_hashes(raw, words)]
-            return np.unique(np.concatenate(parts).astype(np.uint32)).tobytes() if parts else b""
-
-        return text.map(of)
+        return text.map(lambda raw: _shingle_set(raw, words).tobytes())
 
     return sets
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """PARITIES bits: whether an odd number of the shingles falls to each. Sets that differ in d shingles differ
+    in d bits at most."""
+    odd = np.bincount(shingles % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _parities(words: int):
+    @F.pandas_udf("n int, parity array<bigint>")
+    def parities(text: pd.Series) -> pd.DataFrame:
+        found = [_shingle_set(raw, words) for raw in text]
+        return pd.DataFrame({"n": pd.Series(map(len, found), dtype="int32"), "parity": pd.Series(map(_parity, found), dtype=object)})
+
+    return parities
+
+
 def _jaccard_at_least(similarity: float):
     @F.pandas_udf("boolean")
     def enough(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -362,43 +382,57 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     apart = scratch.keep(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
     edges = scratch.keep(cls.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(apart)))
     cls = scratch.keep(components(edges, scratch))
-    left = scratch.keep(_strays(each.select("sketch", "fp", "bands").join(cls.withColumnRenamed("node", "sketch"), "sketch", "left"), pairs, scratch))
+    rooted = each.select("sketch", "fp", "bands").join(cls.withColumnRenamed("node", "sketch"), "sketch", "left")
+    marks = lambda named: _texts(docs, text, doc_id, each, named).select("sketch", _parities(words)("raw").alias("m")).select("sketch", "m.*")
+    left = scratch.keep(_strays(rooted, pairs, marks, similarity, scratch))
     edges = cls.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(left))
     roots = components(edges, scratch).withColumnRenamed("node", "sketch")
     return marked.select("id", "body", "sketch").join(roots, "sketch", "left").select("id", "body", "sketch", F.coalesce("root", "sketch").alias("cls"))
 
 
-def _strays(members: DataFrame, tried: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of sketches that share a bucket within NEAR_BITS, are of two classes, and were not tried.
+def _strays(members: DataFrame, tried: DataFrame, marks: Callable[[DataFrame], DataFrame], similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of sketches that share a bucket within NEAR_BITS, are of two classes, were not tried, and
+    may be similar by their parities.
 
-    ``members``: sketch, fp, bands, root (null: a class of its own). Two classes of a bucket meet only where a
-    stray takes part, a member outside the bucket's largest class; so the strays of a bucket, not its members,
-    are held against the whole bucket, and one pass is enough. Large buckets are dealt over salts.
+    ``members``: sketch, fp, bands, root (null: a class of its own); ``marks`` gives sketch, n and parity of some
+    sketches. Two classes of a bucket meet only where a stray takes part, a member outside the bucket's largest
+    class; so the strays of a bucket, not its members, are held against the whole bucket, and one pass is enough.
+    Large buckets are dealt over salts. Sets of n and m shingles that are similar enough differ in at most
+    (n + m) (1 - similarity) / (1 + similarity) shingles, each of which flips one bit of the parities, so more
+    differing bits discard a pair for certain.
     """
     rows = members.select("sketch", "fp", F.coalesce("root", "sketch").alias("cls"), F.explode("bands").alias("k"))
     mixed = rows.groupBy("k").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     held = scratch.keep(rows.join(mixed.select("k", F.ceil(F.col("n") / SALTED).alias("salts")), "k"))
     sizes = held.groupBy("k", "cls").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("k").agg(F.max(F.struct("n", "cls")).getField("cls").alias("largest"))
-    strays = held.join(largest, "k").where("cls <> largest").select("k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("sketch").alias("s"), F.col("fp").alias("sf"), F.col("cls").alias("sc"))
-    salted = held.select("k", F.pmod(F.xxhash64("sketch"), "salts").alias("salt"), "sketch", "fp", "cls")
-    met = salted.join(strays, ["k", "salt"]).where((F.col("cls") != F.col("sc")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("sf"))) <= NEAR_BITS))
-    return met.select(F.greatest("sketch", "s").alias("a"), F.least("sketch", "s").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    held = scratch.keep(held.join(largest, "k").join(marks(held.select("sketch").distinct()), "sketch"))
+    mine = ["sketch", "fp", "cls", "n", "parity"]
+    strays = held.where("cls <> largest").select("k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"s_{c}") for c in mine])
+    salted = held.select("k", F.pmod(F.xxhash64("sketch"), "salts").alias("salt"), *mine)
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("s_fp"))) <= NEAR_BITS
+    apart = sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("s_parity")[i])) for i in range(PARITIES // 64))
+    close &= apart * F.lit(1 + similarity) <= (F.col("n") + F.col("s_n")) * F.lit(1 - similarity) + F.lit(1e-6)
+    met = salted.join(strays, (salted["k"] == strays["k"]) & (salted["salt"] == strays["salt"]) & (F.col("cls") != F.col("s_cls")) & close)
+    return met.select(F.greatest("sketch", "s_sketch").alias("a"), F.least("sketch", "s_sketch").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _similar(docs: DataFrame, text: str, doc_id: str, words: int, similarity: float, each: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of sketches whose texts' shingle sets are similar enough."""
-    ident, key = row_keys(docs, text, doc_id)
-    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    # one row of each text in a pair
     named = pairs.select(F.explode(F.array("a", "b")).alias("sketch")).distinct()
-    wanted = each.select("sketch", "r.*").join(named, "sketch")
-    raw = docs.select(ident.alias("id"), key.alias("body"), body.alias("raw")).join(wanted, ["id", "body"]).dropDuplicates(["sketch"])
-    sets = scratch.keep(raw.select("sketch", _shingle_sets(words)("raw").alias("s")))
+    sets = scratch.keep(_texts(docs, text, doc_id, each, named).select("sketch", _shingle_sets(words)("raw").alias("s")))
     one, two = (sets.select(F.col("sketch").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     return pairs.join(one, "a").join(two, "b").where(_jaccard_at_least(similarity)("sa", "sb")).select("a", "b")
 
 
+def _texts(docs: DataFrame, text: str, doc_id: str, each: DataFrame, named: DataFrame) -> DataFrame:
+    """(sketch, raw): one text of each sketch in ``named``."""
+    ident, key = row_keys(docs, text, doc_id)
+    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    wanted = each.select("sketch", "r.*").join(named, "sketch")
+    return docs.select(ident.alias("id"), key.alias("body"), body.alias("raw")).join(wanted, ["id", "body"]).dropDuplicates(["sketch"]).select("sketch", "raw")
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: of each class of near duplicates the one with the least doc_id. A null
     id comes last; of rows that share the id, the least XXH64 of the text stays, and one of equal rows. Texts

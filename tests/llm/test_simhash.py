@@ -166,14 +166,25 @@ def test_families_alike_only_here_and_there_equal_brute_force(spark):
         spark.conf.set(setting, before)
 
 
+def test_parities_differ_in_no_more_bits_than_sets(spark):
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 30, 3000):
+        x = np.unique(rng.integers(0, 2**32, n, dtype=np.uint32))
+        y = np.union1d(x[: n // 2], rng.integers(0, 2**32, n // 3, dtype=np.uint32))
+        bits = int(np.bitwise_count((simhash._parity(x) ^ simhash._parity(y)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(x, y)) and bits % 2 == len(np.setxor1d(x, y)) % 2
+
+
 def test_strays_meet_their_whole_bucket_once(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SALTED", 2)
     far = -1  # 64 bits away from fingerprint 0
     members = [(s, 0, [7, 100 + s], 1) for s in range(1, 8)] + [(20, 1, [7, 120], None), (21, far, [7, 121], None), (22, 3, [8, 122], None)]
     df = spark.createDataFrame(members, "sketch bigint, fp bigint, bands array<bigint>, root bigint")
     tried = spark.createDataFrame([(20, 3)], "a bigint, b bigint")
-    got = sorted(tuple(r) for r in simhash._strays(df, tried, Scratch(spark, "t")).collect())
-    assert got == [(20, b) for b in (1, 2, 4, 5, 6, 7)]
+    odd = lambda s: [(1 << 23) - 1 if s == 5 else 0] + [0] * 15  # 23 bits
+    marks = lambda named: spark.createDataFrame([(s, 100, odd(s)) for (s, *_) in members], "sketch bigint, n int, parity array<bigint>").join(named, "sketch")
+    got = sorted(tuple(r) for r in simhash._strays(df, tried, marks, 0.8, Scratch(spark, "t")).collect())
+    assert got == [(20, b) for b in (1, 2, 4, 6, 7)]
 
 
 def test_keep_one_of_equal_rows_and_null_ids(spark):
