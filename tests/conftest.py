@@ -12,7 +12,8 @@ def spark(tmp_path_factory):
     from tessera.session import local_session, ship
 
     shared = tmp_path_factory.mktemp("shared")
-    session = local_session(8, 8, "4g", **{"spark.checkpoint.dir": f"file://{shared}", "spark.sql.warehouse.dir": f"file://{shared}/warehouse"})
+    # short runs: code is compiled once, lightly
+    session = local_session(8, 4, "4g", **{"spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1", "spark.checkpoint.dir": f"file://{shared}", "spark.sql.warehouse.dir": f"file://{shared}/warehouse"})
     session.sparkContext.setLogLevel("ERROR")
     yield ship(session)
     session.stop()
