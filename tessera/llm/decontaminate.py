@@ -12,17 +12,20 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, row_keys
+
 #: Every piece has at least so many bytes, and the index holds so many of each; from 8 to 16.
 PIECE = 12
 #: One edit is allowed for each so many bytes of an item.
 BYTES_AN_EDIT = 12
-#: Items broadcast at once, in bytes of their texts.
+#: Items sent to tasks at once, in bytes of their texts.
 BLOCK_BYTES = 8_000_000
 SLICE = 4_000_000
 HITS = "array<struct<item_id: bigint, distance: int, start: int, end: int>>"
@@ -184,17 +187,17 @@ def search(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, i
     return [sorted(x) for x in out]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Index]:
-    """The benchmark in blocks of about BLOCK_BYTES, dealt by hash; the size is measured before anything is fetched."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list[DataFrame]:
+    """The benchmark dealt by hash to blocks of about BLOCK_BYTES; only its size is fetched here."""
     items = benchmark.select(F.col(f"`{item_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t")).where("i is not null and t is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-total // BLOCK_BYTES))
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield Index(sorted({(r["i"], normalise(r["t"])) for r in block.toLocalIterator()}))
+    return [items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n)]
+
 
+def _searcher(block: DataFrame):
+    index = Index(sorted({(r["i"], normalise(r["t"])) for r in block.toLocalIterator()}))
 
-def _searcher(index: Index):
     @F.pandas_udf(HITS)
     def found(text: pd.Series) -> pd.Series:
         names = ("item_id", "distance", "start", "end")
@@ -203,17 +206,36 @@ def _searcher(index: Index):
     return found
 
 
-def leaks(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> Column:
-    """The items of ``benchmark`` in the column ``text``, as a column: array<struct<item_id, distance, start, end>>.
+def leaks(docs: DataFrame, benchmark: DataFrame, keys: list[Column], text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(keys, item_id, distance, start, end): the items of ``benchmark`` in the column ``text`` of every row.
 
     An item is in a text if, both normalised, some stretch of the text is within the item's error budget of
     it. Null texts hold nothing. Items that are null, have no id or fewer than PIECE normalised bytes are passed
-    over: chance alone puts those anywhere. Items that share an id count as that id.
-    """
-    found = [_searcher(index)(F.col(f"`{text}`")) for index in _blocks(benchmark, item_id, item_text)]
-    return found[0] if len(found) == 1 else F.concat(*found)
+    over: chance alone puts those anywhere. Items that share an id count as that id, in each block once. Repeated
+    rows come back each. ``keys`` need other names than the four.
 
+    One block is searched within the plan. Of several, each is a pass of its own over the texts, whose hits are
+    written before the next block is fetched, so neither the driver nor a task ever holds two.
+    """
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item; columns stay as they are, and repeated rows stay repeated."""
-    return docs.where(F.size(leaks(benchmark, text, item_id, item_text)) == 0)
+    def found(block: DataFrame) -> DataFrame:
+        hits = docs.select(*keys, _searcher(block)(F.col(f"`{text}`")).alias("_tessera_hits"))
+        return hits.select(*[F.col(f"`{c}`") for c in hits.columns[:-1]], F.inline("_tessera_hits"))
+
+    blocks = _blocks(benchmark, item_id, item_text)
+    if len(blocks) == 1:
+        return found(blocks[0])
+    scratch = Scratch(docs.sparkSession, "leaks")
+    return reduce(DataFrame.unionByName, [scratch.keep(found(block)) for block in blocks])
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that hold no item; columns stay as they are, and repeated rows stay repeated. One
+    block is a filter; the hits of several passes meet the rows by id (null: one like any other) and text."""
+    blocks = _blocks(benchmark, item_id, item_text)
+    if len(blocks) == 1:
+        return docs.where(F.size(_searcher(blocks[0])(F.col(f"`{text}`"))) == 0)
+    names = ["_tessera_id", "_tessera_body"]
+    keys = [key.alias(name) for key, name in zip(row_keys(docs, text, doc_id), names, strict=True)]
+    found = leaks(docs, benchmark, keys, text, item_id, item_text).select(*names).distinct()
+    return docs.withColumns(dict(zip(names, row_keys(docs, text, doc_id), strict=True))).join(found, names, "left_anti").drop(*names)

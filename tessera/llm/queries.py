@@ -12,8 +12,7 @@ from .common import table
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, distance, start, end (bytes of the normalised text): every item in every document."""
     docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", decontaminate.leaks(table(spark, sf_dir, "benchmark")).alias("hits"))
-    return found.select("doc_id", F.inline("hits"))
+    return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), [F.col("doc_id")])
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
