@@ -196,7 +196,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list[DataFrame]:
 
 
 def _searcher(block: DataFrame):
-    index = Index(sorted({(r["i"], normalise(r["t"])) for r in block.toLocalIterator()}))
+    index = Index(sorted({(r["i"], normalise(r["t"])) for r in block.collect()}))
 
     @F.pandas_udf(HITS)
     def found(text: pd.Series) -> pd.Series:
