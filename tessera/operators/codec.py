@@ -58,12 +58,19 @@ def _external(encode: list[str], decode: list[str]):
     return (lambda s, t: run(encode, {"source": s, "target": t}, "patch"), lambda s, p: run(decode, {"source": s, "patch": p}, "target"))
 
 
-def external(name: str, tool: int, encode: list[str], decode: list[str]) -> Codec:
-    return Codec(name, tool, *_external(encode, decode), lambda: all(shutil.which(c[0]) for c in (encode, decode)))
+#: The option with which a tool only says what it is; one without an option isn't started to see whether it works.
+PROBE = {"xdelta3": "config", "hdiffz": "-v", "hpatchz": "-v"}
+
+
+def works(tool: str) -> bool:
+    """Whether a tool is installed and, where PROBE names an option, runs."""
+    place, option = shutil.which(tool), PROBE.get(Path(tool).name)
+    return place is not None and (option is None or subprocess.run([place, option], capture_output=True).returncode == 0)
 
 
-#: The option with which a tool only says what it is.
-PROBE = {"xdelta3": "-V", "hdiffz": "-v", "hpatchz": "-v", "bsdiff": "-help", "bspatch": "-help"}
+def external(name: str, tool: int, encode: list[str], decode: list[str]) -> Codec:
+    return Codec(name, tool, *_external(encode, decode), lambda: all(works(c[0]) for c in (encode, decode)))
+
 
 CODECS = {
     c.name: c

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import classify, codec, delta, whole
+from ..operators import classify, codec, delta, images, whole
 from ..session import ship
 from ..sources import container, headers, snapshots, streams
 
@@ -54,6 +54,23 @@ def apply(spark: SparkSession, source: str, delta_path: str, out: str | None = N
     return rebuilt
 
 
+def generate_images(spark: SparkSession, source: str, target: str, out: str, codec_name: str = codec.DEFAULT, on_unsupported: str = "error", name: str | None = None) -> None:
+    """Writes the deltas of the images under ``target`` against those under ``source`` of the same file name; for a
+    single pair under different names, ``name`` names both. A failed write leaves no delta."""
+    ship(spark)
+    s, t = images.read_images(spark, source, name), images.read_images(spark, target, name)
+    made = images.generate(s, t, codec_name, on_unsupported)
+    made.select("*", F.lit(codec_name).alias("codec")).write.mode("overwrite").parquet(out)
+
+
+def apply_images(spark: SparkSession, source: str, delta_path: str, name: str | None = None) -> DataFrame:
+    """(name, content, arguments) of the images that ``generate_images`` stored; see images.apply."""
+    ship(spark)
+    deltas = spark.read.parquet(delta_path)
+    first = deltas.select("codec").first()
+    return images.apply(deltas, images.read_images(spark, source, name), first["codec"] if first else codec.DEFAULT)
+
+
 def export_container(spark: SparkSession, source: str, target: str, out: str, ts: int = 0, comp: int = 6, flags: int = 0x00C0, codec_name: str = codec.DEFAULT) -> int:
     """Writes the delta as one container, by the compatible matcher, and returns its bytes.
 

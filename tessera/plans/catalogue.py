@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, paths, scoring
-from ..operators import blocks, classify, delta, match
+from ..operators import blocks, classify, delta, images, match
 from ..sources import container, headers, pseudo, snapshots
 from ..sources.snapshots import Snapshot
 
@@ -371,3 +371,37 @@ def manifest_parse(spark, sf_dir):
     named = pseudo.manifest_text(F.concat("path", F.lit(" x")), F.col("size"), F.col("off"))
     noise = F.array(F.struct((F.col("idx") * 4).alias("line_no"), F.lit("# comment").alias("line")), F.struct((F.col("idx") * 4 + 1).alias("line_no"), F.lit("dir D 0 755 0 0").alias("line")), F.struct((F.col("idx") * 4 + 2).alias("line_no"), named.alias("line")), F.struct((F.col("idx") * 4 + 3).alias("line_no"), F.lit("short x").alias("line")))
     return pseudo.parse_lines(t.select(F.inline(noise))).select("idx", "path", "size", "off")
+
+
+# --- images: a superblock before the text of a document -------------------------------------------------------------
+
+_IMAGE_FLAGS = "case when doc_id % 10 = 0 then 1024 else (doc_id * 16) % 1024 end"
+_IMAGE = f"""'68737173' || '00000000' || {_le("1700000000 + doc_id", 4)} || repeat('00', 8) || {_le("1 + doc_id % 6", 2)} || '0000' || {_le(_IMAGE_FLAGS, 2)} || '0000' || '0400' || '0000'"""
+
+
+def _images(spark, sf_dir, more: str) -> DataFrame:
+    from ..functions.binary import le_bytes
+
+    d, zero = F.col("doc_id"), F.lit(0)
+    flags = F.when(d % 10 == 0, 1024).otherwise(d * 16 % 1024)
+    fields = [(F.lit(0x73717368), 4), (zero, 4), (1700000000 + d, 4), (zero, 8), (1 + d % 6, 2), (zero, 2), (flags, 2), (zero, 2), (F.lit(4), 2), (zero, 2)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    head = F.concat(*[le_bytes(value, width) for value, width in fields])
+    return docs.select(d.cast("string").alias("name"), F.concat(head, F.coalesce("text", F.lit("")).cast("binary"), F.lit(more.encode())).alias("content"))
+
+
+@query(
+    f"""select cast(doc_id as varchar) as name, case when doc_id % 10 = 0 then 'plain' else 'container' end as kind,
+    case when doc_id % 10 <> 0 then '73717066' end as magic, md5(unhex({_IMAGE} || hex(encode(coalesce(text, '') || ' patched')))) as md5,
+    case when doc_id % 10 <> 0 then '-comp ' || list_extract(['gzip', 'lzma', 'lzo', 'xz', 'lz4', 'zstd'], cast(1 + doc_id % 6 as bigint)) || ' ' || array_to_string(list_filter([
+      case when (doc_id * 16) & 16 <> 0 then '-no-fragments' end, case when (doc_id * 16) & 64 = 0 then '-no-duplicates' end,
+      case when (doc_id * 16) & 128 <> 0 then '-exports' end, case when (doc_id * 16) & 512 <> 0 then '-no-xattrs' end,
+      '-mkfs-time ' || (1700000000 + doc_id)], lambda x: x is not null), ' ') end as arguments
+    from documents"""
+)
+def image_roundtrip(spark, sf_dir):
+    source = _images(spark, sf_dir, "").where("cast(name as bigint) % 7 <> 3")
+    deltas = images.generate(source, _images(spark, sf_dir, " patched"), on_unsupported="plain")
+    made = images.apply(deltas, source).select("name", F.md5("content").alias("md5"), F.array_join("arguments", " ").alias("arguments"))
+    magic = F.when(F.col("kind") == "container", F.lower(F.hex(F.substring("delta", 1, 4))))
+    return deltas.select("name", "kind", magic.alias("magic")).join(made, "name")
