@@ -39,9 +39,12 @@ CHUNK = 1 << 16
 PIVOTS = np.random.default_rng(20).integers(0, 2**64, 32, dtype=np.uint64)
 
 BANDS, ROWS = 16, 4
-#: Largest Hamming distance of 64 bits at which a pair goes on to the exact check. At a similarity of 0.8 a
-#: bit differs with probability 0.15: 9.7 bits, standard deviation 2.9.
+#: Largest Hamming distance of 64 bits at which a leader takes a member. At a similarity of 0.8 a bit differs
+#: with probability 0.15: 9.7 bits, standard deviation 2.9.
 NEAR_BITS = 22
+#: The same for the exact pass. A bit of two different sets at 0.8 differs with probability 0.1875 at most (5
+#: shingles and 4 of them), and of 64 such bits more than 28 differ once in 900,000; more than 22, once in 1,100.
+STRAY_BITS = 28
 #: The links that these many bands propose are verified first; those of the others only where they would join
 #: two classes.
 FIRST = 4
@@ -222,16 +225,15 @@ _MULTIPLY, _ADD = _mixers()
 
 
 def _sketch(raw: bytes, words: int) -> tuple[bytes, int, bytes]:
-    """Of a text: the 128-bit hash of its word sequence, its fingerprint, and a hash for each minwise band."""
-    counts, n = np.zeros(64, dtype=np.int64), 0
+    """Of a text: the 128-bit hash of its word sequence, the fingerprint of its different shingles (``simhash``
+    counts repeats, by which texts of nearly the same set can be far apart), and a hash for each minwise band."""
+    parts = list(_shingle_hashes(raw, words))
+    h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    fp = int(np.packbits(_bit_counts(h) * 2 > len(h), bitorder="little").view(np.int64)[0])
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for h in _shingle_hashes(raw, words):
-        counts += _bit_counts(h)
-        n += len(h)
-        h = h ^ (h >> np.uint64(29))
-        for at in range(0, len(h), 2048):
-            np.minimum(least, (h[at : at + 2048] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1), out=least)
-    fp = int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+    h = h ^ (h >> np.uint64(29))
+    for at in range(0, len(h), 2048):
+        np.minimum(least, (h[at : at + 2048] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1), out=least)
     bands = np.array([xxhash.xxh3_64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)], dtype=np.uint64)
     return xxhash.xxh3_128_digest(b" ".join(raw.lower().split())), fp, bands.tobytes()
 
@@ -354,11 +356,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Texts link if the Jaccard similarity of their sets of ``words``-word shingles is at least ``similarity``;
     texts of the same words are one sketch. Similar pairs share one of 16 minwise bands with probability
-    0.9998 at 0.8, and lie within NEAR_BITS but once in 50,000. A proposed link counts if the exact similarity
+    0.9998 at 0.8, and lie within STRAY_BITS but once in 900,000 at most. A proposed link counts if the exact similarity
     (of 32-bit shingle hashes) reaches the bound. First, each bucket proposes links from members to leaders only,
     with leaders chosen anew in every band: one a member and band, however large a class is. Then ``_strays``
     proposes whatever may still join two classes, so the classes are those of all pairs that share a bucket
-    within NEAR_BITS, and how rows are batched and which rows lead changes nothing.
+    within STRAY_BITS, and how rows are batched and which rows lead changes nothing.
     """
     scratch = Scratch(docs.sparkSession, "near")
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
@@ -391,7 +393,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def _strays(members: DataFrame, tried: DataFrame, marks: Callable[[DataFrame], DataFrame], similarity: float, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of sketches that share a bucket within NEAR_BITS, are of two classes, were not tried, and
+    """The pairs (a, b) of sketches that share a bucket within STRAY_BITS, are of two classes, were not tried, and
     may be similar by their parities.
 
     ``members``: sketch, fp, bands, root (null: a class of its own); ``marks`` gives sketch, n and parity of some
@@ -410,7 +412,7 @@ def _strays(members: DataFrame, tried: DataFrame, marks: Callable[[DataFrame], D
     mine = ["sketch", "fp", "cls", "n", "parity"]
     strays = held.where("cls <> largest").select("k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"s_{c}") for c in mine])
     salted = held.select("k", F.pmod(F.xxhash64("sketch"), "salts").alias("salt"), *mine)
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("s_fp"))) <= NEAR_BITS
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("s_fp"))) <= STRAY_BITS
     apart = sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("s_parity")[i])) for i in range(PARITIES // 64))
     close &= apart * F.lit(1 + similarity) <= (F.col("n") + F.col("s_n")) * F.lit(1 - similarity) + F.lit(1e-6)
     met = salted.join(strays, (salted["k"] == strays["k"]) & (salted["salt"] == strays["salt"]) & (F.col("cls") != F.col("s_cls")) & close)

@@ -166,6 +166,34 @@ def test_families_alike_only_here_and_there_equal_brute_force(spark):
         spark.conf.set(setting, before)
 
 
+def test_passages_repeated_inside_a_text_equal_brute_force(spark):
+    rng = random.Random(9)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for times in (20, 40) * 12:  # a passage many times against once: nearly the same set of shingles
+        body, passage = new(500), new(16)
+        texts += [" ".join(body + passage * times), " ".join(body + passage)]
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    found = roots(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    want = [i for i, r in enumerate(found) if i == r]
+    assert len(want) == 24
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).select("doc_id").collect()) == want
+
+
+def test_short_similar_texts_whose_fingerprints_are_far_apart(spark):
+    rng = random.Random(10)
+    rows = []
+    while len(rows) < 6:  # 5 shingles and 4 of them: a similarity of 0.8
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(9))
+        less = text.rsplit(" ", 1)[0]
+        if simhash.NEAR_BITS < (fingerprint(text, 5) ^ fingerprint(less, 5)).bit_count() <= simhash.STRAY_BITS:
+            rows += [(len(rows), text), (len(rows) + 1, less)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [0, 2, 4]
+
+
 def test_parities_differ_in_no_more_bits_than_sets(spark):
     rng = np.random.default_rng(8)
     for n in (0, 1, 30, 3000):
