@@ -12,7 +12,7 @@ import html as entities
 import math
 import random
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -33,15 +33,32 @@ _INLINE = frozenset(
 #: A start tag closes an open element of these, up to the nearest of the walls.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
 _CLOSES |= {"tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-#: A deeper element's ancestors beyond this depth add no features.
-_DEEP = 64
+
+
+class Above:
+    """The features of an open element and its ancestors: those it adds to its parent's, and the nearest block
+    element. A page's elements share their ancestors, so depth costs nothing."""
+
+    __slots__ = ("near", "own", "parent")
+
+    def __init__(self, parent: Above | None, near: str, own: tuple[str, ...]):
+        self.parent, self.near, self.own = parent, near, own
+
+    def __iter__(self) -> Iterator[str]:
+        chain, at = [], self
+        while at:
+            chain.append(at.own)
+            at = at.parent
+        yield from ("bias", self.near)
+        for own in reversed(chain):
+            yield from own
 
 
 @dataclass
 class Block:
     text: str
     #: What the block's elements say, and what its text does.
-    above: tuple[str, ...]
+    above: Above | tuple[str, ...]
     measures: list[str]
 
     @property
@@ -70,8 +87,9 @@ def _measures(text: str, linked: int) -> list[str]:
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page; never fails, whatever the markup."""
     out: list[Block] = []
-    # (tag, features of it and its ancestors, the same with the nearest block element)
-    stack: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = [("", (), ("bias", "at:"))]
+    stack: list[tuple[str, Above]] = [("", Above(None, "at:", ()))]
+    #: The features that the open elements have added.
+    seen: set[str] = set()
     parts: list[str] = []
     linked, links = 0, 0
     at, size = 0, len(page)
@@ -81,7 +99,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, stack[-1][2], _measures(text, linked)))
+                out.append(Block(text, stack[-1][1], _measures(text, linked)))
             parts.clear()
         linked = 0
 
@@ -97,6 +115,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         if links:
             links -= sum(x[0] == "a" for x in stack[to:])
+        for _, above in stack[to:]:
+            seen.difference_update(above.own)
         del stack[to:]
 
     while at < size:
@@ -144,11 +164,10 @@ def blocks(page: str) -> list[Block]:
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else size
             continue
-        _, above, full = stack[-1]
-        if len(stack) < _DEEP:
-            above += tuple(x for x in _own(tag, m[3]) if x not in above)
-        near = "at:" + tag if block else full[1]
-        stack.append((tag, above, ("bias", near, *above)))
+        above = stack[-1][1]
+        own = tuple(x for x in _own(tag, m[3]) if x not in seen)
+        seen.update(own)
+        stack.append((tag, Above(above, "at:" + tag if block else above.near, own)))
         links += tag == "a"
     close()
     return out
@@ -166,11 +185,22 @@ class Field:
     start: float
 
     def emissions(self, page: list[Block]) -> list[float]:
-        w, known, out = self.weights, {}, []
+        w, out = self.weights, []
+        known: dict[Above | None, float] = {None: w.get("bias", 0.0)}
+
+        def of(above: Above | tuple[str, ...]) -> float:
+            if isinstance(above, tuple):
+                return sum([w.get(f, 0.0) for f in above])
+            chain, at = [], above
+            while at not in known:
+                chain.append(at)
+                at = at.parent
+            for x in reversed(chain):
+                known[x] = known[x.parent] + sum([w.get(f, 0.0) for f in x.own])
+            return known[above] + w.get(above.near, 0.0)
+
         for b in page:
-            if b.above not in known:
-                known[b.above] = sum([w.get(f, 0.0) for f in b.above])
-            out.append(known[b.above] + sum([w.get(f, 0.0) for f in b.measures]))
+            out.append(of(b.above) + sum([w.get(f, 0.0) for f in b.measures]))
         return out
 
     def decode(self, page: list[Block]) -> list[int]:

@@ -138,3 +138,13 @@ def test_extract_keeps_articles_whole(spark, tiny):
     odd = spark.createDataFrame([(None,), ("",), ("plain",)], "html string")
     assert [r["main_text"] is not None for r in html_text.extract(odd).collect()] == [True] * 3
     assert html_text.extract(odd.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("depth", [63, 64, 70, 5000])
+def test_html_elements_count_at_every_depth(depth):
+    text = "Some words are in this sentence, and they go on for a while. Then it ends here."
+    page = f'<nav class="main-menu"><p>{text}</nav><div class="advertisement"><p>{text}</p></div><article class="post"><p>One. {text}</p><div class="comments"><p>{text}</p></div></article><p>{text}'
+    shallow, deep = (html_text.blocks("<div>" * n + page) for n in (1, depth))
+    assert [b.features for b in deep] == [b.features for b in shallow] and len(deep) == 5
+    field = html_text.field()
+    assert html_text.main_text("<div>" * depth + page, field) == html_text.main_text("<div>" + page, field)
