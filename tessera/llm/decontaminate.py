@@ -2,7 +2,8 @@
 
 An item with an error budget of e is split into e + 1 pieces: wherever it occurs with at most e edits, one
 piece occurs exactly. Piece hits are found by one vectorised look-up of 12-byte windows over whole batches of
-text, and each is verified by Myers' bit-parallel edit distance around the place it implies. Documents are
+text, and each is verified by Myers' bit-parallel edit distance around the place it implies. Items too short for
+a window are looked up as they are, between the ends of words. Documents are
 scanned where they lie, without a shuffle; items go along in blocks of bounded size, so a large benchmark
 costs more passes and never more memory.
 """
@@ -86,7 +87,7 @@ def myers(pattern: bytes, text: bytes) -> tuple[int, int]:
 class Index:
     """The pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int | None, bytes]]):
         self.items = items
         self.pieces: dict[tuple[int, int], bytes] = {}
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -95,6 +96,12 @@ class Index:
             for at, to in zip(starts, [*starts[1:], len(item)], strict=False):
                 self.pieces[i, at] = item[at:to]
                 found[self._hash(item[at : at + PIECE])[0].item()].append((i, at))
+        brief: dict[int, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for i, (_, item) in enumerate(items):
+            if 0 < len(item) < PIECE:
+                brief[len(item)][item].append(i)
+        #: By length, the items of fewer than PIECE bytes in order, and which items each is.
+        self.brief = {n: (np.array(sorted(of), dtype=f"S{n}"), [of[x] for x in sorted(of)]) for n, of in brief.items()}
         self.hashes = np.array(sorted(found), dtype=np.uint64)
         self.at = [found[int(h)] for h in self.hashes]
         self.filter = np.zeros(1 << _BITS, dtype=bool)
@@ -125,6 +132,29 @@ class Index:
                 if flat[p : p + len(piece)] == piece:
                     yield p, i, at
 
+    def brief_hits(self, flat: bytes, edges: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, item, position) of the first place of every item of fewer than PIECE bytes that is whole words
+        of a document; ``edges`` are where the documents start in ``flat``."""
+        if not self.brief:
+            return
+        ends = np.isin(np.frombuffer(b"\n" + flat + b"\n", dtype=np.uint8), (10, 32))
+        starts = np.flatnonzero(ends[:-1])
+        for n, (texts, which) in self.brief.items():
+            at = starts[starts + n <= len(flat)]
+            at = at[ends[at + n + 1]]
+            if not len(at):
+                continue
+            found = np.ndarray(len(flat) - n + 1, dtype=f"S{n}", buffer=flat, strides=(1,))[at]
+            k = np.searchsorted(texts, found)
+            k[k == len(texts)] = 0
+            exact = texts[k] == found
+            at, k = at[exact], k[exact]
+            docs = np.searchsorted(edges, at, "right") - 1
+            _, first = np.unique(docs * len(texts) + k, return_index=True)
+            for doc, place, x in zip(docs[first].tolist(), at[first].tolist(), k[first].tolist(), strict=True):
+                for i in which[x]:
+                    yield doc, i, place
+
     def verify(self, flat: bytes, lo: int, hi: int, p: int, i: int, at: int) -> tuple[int, int, int] | None:
         """(distance, start, end) of item ``i`` around a piece hit in the document flat[lo:hi]."""
         item = self.items[i][1]
@@ -145,10 +175,15 @@ class Index:
         return d, start + end - (length if back == d else len(item)) - lo, start + end - lo
 
 
-def search(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+def _by_id(row: tuple) -> tuple:
+    """Orders rows by their id, null last."""
+    return row[0] is None, row[0] or 0, row[1:]
+
+
+def search(index: Index, texts: list[str | None]) -> list[list[tuple[int | None, int, int, int]]]:
     """For each text the (item_id, distance, start, end) of the items in it, each item once at its best place;
     positions are bytes of the normalised text."""
-    out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+    out: list[list[tuple[int | None, int, int, int]]] = [[] for _ in texts]
     todo: list[tuple[int, bytes]] = []
 
     def flush() -> None:
@@ -169,6 +204,9 @@ def search(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, i
             got = index.verify(flat, int(edges[doc]), int(edges[doc + 1]) - 1, p, i, off)
             if got and (not had or got < had):
                 best[doc, i] = got
+        for doc, i, p in index.brief_hits(flat, edges[:-1]):
+            begin = p - int(edges[doc])
+            best[doc, i] = 0, begin, begin + len(index.items[i][1])
         for (doc, i), got in sorted(best.items()):
             out[todo[doc][0]].append((index.items[i][0], *got))
         todo.clear()
@@ -184,19 +222,19 @@ def search(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, i
                 held = 0
     if todo:
         flush()
-    return [sorted(x) for x in out]
+    return [sorted(x, key=_by_id) for x in out]
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list[DataFrame]:
     """The benchmark dealt by hash to blocks of about BLOCK_BYTES; only its size is fetched here."""
-    items = benchmark.select(F.col(f"`{item_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(f"`{item_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-total // BLOCK_BYTES))
     return [items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n)]
 
 
 def _searcher(block: DataFrame):
-    index = Index(sorted({(r["i"], normalise(r["t"])) for r in block.collect()}))
+    index = Index(sorted({(r["i"], normalise(r["t"])) for r in block.collect()}, key=_by_id))
 
     @F.pandas_udf(HITS)
     def found(text: pd.Series) -> pd.Series:
@@ -210,9 +248,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keys: list[Column], text: str =
     """(keys, item_id, distance, start, end): the items of ``benchmark`` in the column ``text`` of every row.
 
     An item is in a text if, both normalised, some stretch of the text is within the item's error budget of
-    it. Null texts hold nothing. Items that are null, have no id or fewer than PIECE normalised bytes are passed
-    over: chance alone puts those anywhere. Items that share an id count as that id, in each block once. Repeated
-    rows come back each. ``keys`` need other names than the four.
+    it; one of fewer than PIECE normalised bytes, if it is whole words of the text. Null texts hold nothing, and
+    items that are null or normalise to nothing are in no text. An item without an id has a null item_id in the hits.
+    Items that share an id count as that id, in each block once. Repeated rows come back each. ``keys`` need other names than the four.
 
     One block is searched within the plan. Of several, each is a pass of its own over the texts, whose hits are
     written before the next block is fetched, so neither the driver nor a task ever holds two.

@@ -90,3 +90,30 @@ def test_planted_items_are_found(spark, tiny):
     want = {(r["doc_id"], i) for r in docs.collect() for i, t in texts.items() if t in d.normalise(r["text"])}
     got = {(r["doc_id"], r["item_id"]) for r in d.leaks(docs, bench, [F.col("doc_id")]).collect()}
     assert want <= got and want
+
+
+def test_short_items_equal_brute_force():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abé", k=rng.randint(1, 4))) for _ in range(40)]
+    items = sorted({d.normalise(" ".join(rng.choices(words, k=rng.randint(1, 3)))) for _ in range(60)})
+    items = [x for x in items if len(x) < d.PIECE]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(60)] + ["a", "", None, "aé" * 9]
+    index = d.Index(list(enumerate(items)))
+    found = d.search(index, texts)
+    assert sum(map(len, found)) > 100
+    for text, hits in zip(texts, found, strict=True):
+        body = b" " + d.normalise(text or "") + b" "
+        places = [(i, body.find(b" " + x + b" "), len(x)) for i, x in enumerate(items)]
+        assert hits == [(i, 0, at, at + n) for i, at, n in places if at >= 0]
+
+
+def test_items_without_an_id_and_short_items_are_searched(spark, monkeypatch):
+    items = [(None, "an item without any id that is long"), (None, "and another one without an id"), (1, "Short."), (2, "of it"), (3, ""), (4, "?")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    texts = ["see an item without any id that is long, and another one without an id", "a short word", "shorter words", "words of items", "all of it", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for size in (8_000_000, 40):
+        monkeypatch.setattr(d, "BLOCK_BYTES", size)
+        got = [(r["doc_id"], r["item_id"], r["distance"], r["start"], r["end"]) for r in d.leaks(docs, bench, [F.col("doc_id")]).collect()]
+        assert sorted(got, key=str) == [(0, None, 0, 4, 39), (0, None, 0, 40, 69), (1, 1, 0, 2, 7), (4, 2, 0, 4, 9)]
+        assert sorted(r["doc_id"] for r in d.drop_leaks(docs, bench).collect()) == [2, 3, 5]
