@@ -12,6 +12,7 @@ import html as entities
 import math
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -21,9 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>=]++|=)*+)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>=]++|=)*+)(?:>|(\Z))", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: References to numbers beyond all code points, of more digits than the standard decoder has to read.
+_HUGE = re.compile(r"&#(?:[0-9]{20,}|[xX][0-9a-fA-F]{20,});?")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Their content is no text of the page.
 _RAW = frozenset("script style template noscript iframe svg canvas object audio video".split())
@@ -85,13 +88,20 @@ def _measures(text: str, linked: int) -> list[str]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page; never fails, whatever the markup."""
+    """The leaf blocks of a page; never fails, whatever the markup, and takes time in proportion to its length.
+
+    As in browsers, a tag that the page ends in is dropped, an end tag without its start is passed over, and one of an
+    inline element reaches no further than the nearest block element.
+    """
     out: list[Block] = []
     stack: list[tuple[str, Above]] = [("", Above(None, "at:", ()))]
+    #: Where in the stack the open elements of each name are, and the open block elements.
+    where: dict[str, list[int]] = defaultdict(list)
+    solid = [0]
     #: The features that the open elements have added.
     seen: set[str] = set()
     parts: list[str] = []
-    linked, links = 0, 0
+    linked = 0
     at, size = 0, len(page)
 
     def close() -> None:
@@ -106,18 +116,22 @@ def blocks(page: str) -> list[Block]:
     def add(raw: str) -> None:
         nonlocal linked
         if raw:
-            text = entities.unescape(raw) if "&" in raw else raw
+            text = entities.unescape(_HUGE.sub("\ufffd", raw)) if "&" in raw else raw
             parts.append(text)
-            if links:
+            if where["a"]:
                 linked += len(text)
 
+    def last(names: Iterable[str]) -> int:
+        """The highest place in the stack of an element of these names, 0 if none is open."""
+        return max((where[n][-1] for n in names if where[n]), default=0)
+
     def pop(to: int) -> None:
-        nonlocal links
-        if links:
-            links -= sum(x[0] == "a" for x in stack[to:])
-        for _, above in stack[to:]:
+        for tag, above in stack[to:]:
+            where[tag].pop()
             seen.difference_update(above.own)
         del stack[to:]
+        while solid[-1] >= to:
+            solid.pop()
 
     while at < size:
         m = _TAG.search(page, at)
@@ -127,36 +141,25 @@ def blocks(page: str) -> list[Block]:
         add(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
-        if not tag:
+        if not tag or m[4] is not None:
             continue
         block = tag not in _INLINE
         if m[1]:
             if block:
                 close()
-            found = len(stack) - 1
-            while found and stack[found][0] != tag:
-                found -= 1
-            # an inline end tag reaches no further than the nearest block
-            if found and (block or all(x[0] in _INLINE for x in stack[found:])):
+            found = last((tag,))
+            if found and (block or found > solid[-1]):
                 pop(found)
             continue
         if block:
             close()
             if tag in _CLOSES:
                 ends, walls = _CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in walls:
-                        break
-                    if stack[i][0] in ends:
-                        pop(i)
-                        break
-            elif tag != "br":
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        pop(i)
-                        break
-                    if stack[i][0] not in _INLINE:
-                        break
+                found = last(ends)
+                if found > last(walls):
+                    pop(found)
+            elif tag != "br" and stack[solid[-1]][0] == "p":
+                pop(solid[-1])
         if tag in _VOID:
             continue
         if tag in _RAW:
@@ -167,8 +170,10 @@ def blocks(page: str) -> list[Block]:
         above = stack[-1][1]
         own = tuple(x for x in _own(tag, m[3]) if x not in seen)
         seen.update(own)
+        where[tag].append(len(stack))
+        if block:
+            solid.append(len(stack))
         stack.append((tag, Above(above, "at:" + tag if block else above.near, own)))
-        links += tag == "a"
     close()
     return out
 

@@ -91,9 +91,6 @@ class Ratio:
             from (select ids, tb, unnest(range(1, len(ids) + 1)) as i
                   from (select case when {text} = '' then cast([] as bigint[]) else {ids} end as ids, {table} as tb)))"""
 
-    def taken(self, text: Column) -> Column:
-        return self.column(text) >= self.threshold * F.length(text)
-
 
 def fit(yes: list[str], no: list[str], alphabet: str, order: int, cost: int = 1) -> Ratio:
     """Fits both models on all samples and sets the threshold on a held-out split.

@@ -148,3 +148,21 @@ def test_html_elements_count_at_every_depth(depth):
     assert [b.features for b in deep] == [b.features for b in shallow] and len(deep) == 5
     field = html_text.field()
     assert html_text.main_text("<div>" * depth + page, field) == html_text.main_text("<div>" + page, field)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "</x>" * 100_000, "<span>" * 100_000 + "</b>" * 100_000, "<b><div>" + "<span>" * 100_000 + "</b>" * 100_000, "<a " * 300_000, "<div>" * 60_000 + "<li>x" * 60_000, "<a " * 200_000 + '=">"', "&#" + "9" * 6000 + "; &#" + "0" * 9000 + "65;"])
+def test_a_megabyte_of_odd_markup_takes_seconds(page):
+    import time
+
+    began = time.time()
+    html_text.main_text(page, html_text.field())
+    assert time.time() - began < 10
+
+
+def test_pages_of_equal_rows_and_very_long_ones(spark):
+    body = "<p>A sentence of the story, and one more of them.</p>"
+    long = "<article>" + body * 20_000 + "</article>"
+    rows = [(long, "a"), (long, "b"), ("<article>" + body, "c"), ("<article>" + body + "<p title='never", "d")]
+    got = html_text.extract(spark.createDataFrame(rows, "html string, text string")).orderBy("text").collect()
+    one = "A sentence of the story, and one more of them."
+    assert [r["main_text"] for r in got] == [" ".join([one] * 20_000)] * 2 + [one] * 2
