@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ BYTES_AN_EDIT = 12
 #: Items sent to tasks at once, in bytes of their texts.
 BLOCK_BYTES = 8_000_000
 SLICE = 4_000_000
-HITS = "array<struct<item_id: bigint, distance: int, start: int, end: int>>"
+#: ``text`` names an item without an id.
+HITS = "array<struct<item_id: bigint, distance: int, start: int, end: int, text: string>>"
 
 _SPACES = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _OTHER = re.compile(r"[^\w\x00-\x7f]|[\x80-\x9f]")
@@ -89,6 +91,11 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, bytes]]):
         self.items = items
+        names = [i if i is not None else xxhash.xxh3_128_hexdigest(item) for i, item in items]
+        numbers = {name: n for n, name in enumerate(dict.fromkeys(names))}
+        #: Which items count as one: those that share an id, and those without one whose texts are equal.
+        self.one = [numbers[name] for name in names]
+        self.named = [(i, None) if i is not None else (None, name) for (i, _), name in zip(items, names, strict=True)]
         self.pieces: dict[tuple[int, int], bytes] = {}
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, (_, item) in enumerate(items):
@@ -119,18 +126,19 @@ class Index:
 
     def hits(self, flat: bytes) -> Iterator[tuple[int, int, int]]:
         """(position, item, offset of the piece in the item) of every window of ``flat`` equal to a piece."""
-        if len(flat) < PIECE or not len(self.hashes):
+        if not len(self.hashes):
             return
-        mixed = self._hash(flat)
-        places = np.flatnonzero(self.filter[mixed >> np.uint64(64 - _BITS)])
-        which = np.searchsorted(self.hashes, mixed[places])
-        which[which == len(self.hashes)] = 0
-        exact = self.hashes[which] == mixed[places]
-        for p, k in zip(places[exact].tolist(), which[exact].tolist(), strict=True):
-            for i, at in self.at[k]:
-                piece = self.pieces[i, at]
-                if flat[p : p + len(piece)] == piece:
-                    yield p, i, at
+        for base in range(0, len(flat) - PIECE + 1, SLICE):  # one document may be longer than a slice
+            mixed = self._hash(flat[base : base + SLICE + PIECE - 1])
+            places = np.flatnonzero(self.filter[mixed >> np.uint64(64 - _BITS)])
+            which = np.searchsorted(self.hashes, mixed[places])
+            which[which == len(self.hashes)] = 0
+            exact = self.hashes[which] == mixed[places]
+            for p, k in zip((places[exact] + base).tolist(), which[exact].tolist(), strict=True):
+                for i, at in self.at[k]:
+                    piece = self.pieces[i, at]
+                    if flat[p : p + len(piece)] == piece:
+                        yield p, i, at
 
     def brief_hits(self, flat: bytes, edges: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(document, item, position) of the first place of every item of fewer than PIECE bytes that is whole words
@@ -180,10 +188,10 @@ def _by_id(row: tuple) -> tuple:
     return row[0] is None, row[0] or 0, row[1:]
 
 
-def search(index: Index, texts: list[str | None]) -> list[list[tuple[int | None, int, int, int]]]:
-    """For each text the (item_id, distance, start, end) of the items in it, each item once at its best place;
-    positions are bytes of the normalised text."""
-    out: list[list[tuple[int | None, int, int, int]]] = [[] for _ in texts]
+def search(index: Index, texts: list[str | None]) -> list[list[tuple[int | None, int, int, int, str | None]]]:
+    """For each text the (item_id, distance, start, end, text) of the items in it, each id once at its best place;
+    positions are bytes of the normalised text. ``text`` is None but for items without an id, which it names."""
+    out: list[list[tuple[int | None, int, int, int, str | None]]] = [[] for _ in texts]
     todo: list[tuple[int, bytes]] = []
 
     def flush() -> None:
@@ -194,21 +202,30 @@ def search(index: Index, texts: list[str | None]) -> list[list[tuple[int | None,
         flat = b"\n".join(body for _, body in todo)
         edges = np.array([*starts, at])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        name: dict[int, int] = {}
         tried: set[tuple[int, int, int]] = set()
+
+        def put(doc: int, i: int, got: tuple[int, int, int]) -> None:
+            one = index.one[i]
+            name[one] = i
+            if (doc, one) not in best or got < best[doc, one]:
+                best[doc, one] = got
+
         for p, i, off in index.hits(flat):
             doc = int(np.searchsorted(edges, p, "right")) - 1
-            had = best.get((doc, i))
-            if had and had[0] == 0 or (doc, i, p - off) in tried:
+            lo, had = int(edges[doc]), best.get((doc, index.one[i]))
+            if had and had[0] == 0 and had[1] < p - off - lo or (doc, i, p - off) in tried:
                 continue
             tried.add((doc, i, p - off))
-            got = index.verify(flat, int(edges[doc]), int(edges[doc + 1]) - 1, p, i, off)
-            if got and (not had or got < had):
-                best[doc, i] = got
+            got = index.verify(flat, lo, int(edges[doc + 1]) - 1, p, i, off)
+            if got:
+                put(doc, i, got)
         for doc, i, p in index.brief_hits(flat, edges[:-1]):
             begin = p - int(edges[doc])
-            best[doc, i] = 0, begin, begin + len(index.items[i][1])
-        for (doc, i), got in sorted(best.items()):
-            out[todo[doc][0]].append((index.items[i][0], *got))
+            put(doc, i, (0, begin, begin + len(index.items[i][1])))
+        for (doc, one), got in best.items():
+            ident, text = index.named[name[one]]
+            out[todo[doc][0]].append((ident, *got, text))
         todo.clear()
 
     held = 0
@@ -238,7 +255,7 @@ def _searcher(block: DataFrame):
 
     @F.pandas_udf(HITS)
     def found(text: pd.Series) -> pd.Series:
-        names = ("item_id", "distance", "start", "end")
+        names = ("item_id", "distance", "start", "end", "text")
         return pd.Series([[dict(zip(names, hit, strict=True)) for hit in hits] for hits in search(index, list(text))], dtype=object)
 
     return found
@@ -249,27 +266,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keys: list[Column], text: str =
 
     An item is in a text if, both normalised, some stretch of the text is within the item's error budget of
     it; one of fewer than PIECE normalised bytes, if it is whole words of the text. Null texts hold nothing, and
-    items that are null or normalise to nothing are in no text. An item without an id has a null item_id in the hits.
-    Items that share an id count as that id, in each block once. Repeated rows come back each. ``keys`` need other names than the four.
+    items that are null or normalise to nothing are in no text; an empty table of either gives no rows. Items that share
+    an id count as that id: one row a document, the place of the least distance, and of these the first. An item without
+    an id has a null item_id in the hits; such items count as one if their normalised texts are equal. Repeated rows
+    come back each; very long texts are searched whole. A key that has the name of a hit's column comes back as ``doc_``
+    and its name.
 
     One block is searched within the plan. Of several, each is a pass of its own over the texts, whose hits are
-    written before the next block is fetched, so neither the driver nor a task ever holds two.
+    written before the next block is fetched, so neither the driver nor a task ever holds two; the rows are the same.
     """
+    of_hit = ["item_id", "distance", "start", "end"]
+    names = docs.select(*keys).columns
+    mine = [f"_tessera_{k}" for k in range(len(names))]
+    named = [F.col(c).alias(f"doc_{n}" if n in of_hit else n) for c, n in zip(mine, names, strict=True)]
+    body = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).alias("_tessera_body")
 
-    def found(block: DataFrame) -> DataFrame:
-        hits = docs.select(*keys, _searcher(block)(F.col(f"`{text}`")).alias("_tessera_hits"))
-        return hits.select(*[F.col(f"`{c}`") for c in hits.columns[:-1]], F.inline("_tessera_hits"))
+    def found(block: DataFrame, *more: Column) -> DataFrame:
+        hits = docs.select(*[k.alias(c) for k, c in zip(keys, mine, strict=True)], *more, _searcher(block)(F.col(f"`{text}`")).alias("_tessera_hits"))
+        return hits.select(*hits.columns[:-1], F.inline("_tessera_hits"))
 
     blocks = _blocks(benchmark, item_id, item_text)
     if len(blocks) == 1:
-        return found(blocks[0])
-    scratch = Scratch(docs.sparkSession, "leaks")
-    return reduce(DataFrame.unionByName, [scratch.keep(found(block)) for block in blocks])
+        return found(blocks[0]).select(*named, *of_hit)
+    # rows of equal keys and text have equal hits, and come back as often as they are there
+    scratch, by = Scratch(docs.sparkSession, "leaks"), [*mine, "_tessera_body", "item_id", "text"]
+    best = F.min(F.struct("distance", "start", "end")).alias("best")
+    passes = [scratch.keep(found(block, body).groupBy(*by).agg(best, F.count("*").alias("n"))) for block in blocks]
+    met = reduce(DataFrame.unionByName, passes).groupBy(*by).agg(F.min("best").alias("best"), F.max("n").alias("n"))
+    return met.withColumn("n", F.explode(F.sequence(F.lit(1).cast("bigint"), "n"))).select(*named, "item_id", "best.*")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that hold no item; columns stay as they are, and repeated rows stay repeated. One
-    block is a filter; the hits of several passes meet the rows by id (null: one like any other) and text."""
+    block is a filter; the hits of several passes meet the rows by id (null: one like any other) and text. Null and
+    empty texts hold nothing and stay."""
     blocks = _blocks(benchmark, item_id, item_text)
     if len(blocks) == 1:
         return docs.where(F.size(_searcher(blocks[0])(F.col(f"`{text}`"))) == 0)

@@ -1,64 +1,54 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton of each language's labelled text parses a text into the longest phrases which that text
-holds. The fewer phrases a symbol a language needs, the closer it is. Automata are dense transition tables,
-and whole batches of segments step through them together, one vectorised look-up a symbol and language.
-Training reads a bounded sample; predicting is a map over the documents without a shuffle.
+holds. The fewer phrases a symbol a language needs, the closer it is. Symbols are bytes of UTF-8, so that no
+letter of any script is folded into another. Automata are dense transition tables, and whole batches of
+segments step through them together, one vectorised look-up a symbol and language; phrases cross the ends of
+segments. Training reads a bounded sample of labelled pieces; predicting is a map over the documents without a
+shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The bounds of the training sample: rows a language, their lengths in characters, and languages.
-ROWS, SHORTEST, LONGEST, LANGUAGES = 48, 100, 4_000, 256
-#: Symbols of a language's training text that its automaton takes.
-SAMPLE = 24_000
-#: The most frequent letters of the sample are symbols of their own; 0 is any run of other than letters, and
-#: all other letters share the last symbol.
-LETTERS = 61
-#: Phrases end at the ends of segments of this many symbols.
+#: The bounds of the training sample. Labelled texts are cut into pieces of PIECE characters, and of each language's
+#: pieces those of the least hash serve, at most PIECES of them and ALL_PIECES of all languages together (but one each).
+PIECE, PIECES, ALL_PIECES = 1_000, 24, 1_536
+#: Pieces of fewer characters serve only where a language has no other.
+SHORTEST = 100
+#: More labels than this are an error, as every one needs an automaton.
+LANGUAGES = 4_096
+#: So many symbols of a text are stepped through at once; phrases go on into the next segment.
 SEGMENT = 256
 #: Segments that step together.
 LANES = 1 << 14
 SLICE = 2_000_000
 
 
-def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    if not hasattr(_letters, "table"):
+        _letters.table = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+    return _letters.table
 
 
-def letters_of(texts: list[str]) -> str:
-    seen = Counter("".join(texts).lower())
-    return "".join(sorted(sorted((c for c in seen if c.isalpha() and ord(c) < 65536), key=lambda c: (-seen[c], c))[:LETTERS]))
-
-
-def symbol_table(letters: str) -> np.ndarray:
-    """Code points below 65536 to symbols; a code point above counts as the last of these."""
-    table = np.zeros(65536, dtype=np.uint8)
-    table[[i for i in range(65536) if chr(i).isalpha()]] = len(letters) + 1
-    table[65535] = len(letters) + 1
-    for i, c in enumerate(letters):
-        table[ord(c)] = i + 1
-    return table
-
-
-def symbols(text: str, table: np.ndarray) -> np.ndarray:
-    """The symbols of a text; of several 0 in a row one stays."""
-    found = table[np.minimum(codes(text), 65535)]
-    keep = found > 0
-    keep[1:] |= found[:-1] > 0
-    return found[keep]
+def cleaned(text: str) -> bytes:
+    """A text's letters in lower case as UTF-8; every run of others is one space."""
+    found = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
+    letter = _letters()[found]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    return np.where(letter, found, 32)[keep].astype("<u4").tobytes().decode("utf-32-le").encode()
 
 
 def automaton(sample: list[int], size: int) -> np.ndarray:
-    """The suffix automaton of a sample as a table for ``parse``.
+    """The suffix automaton of a sample as a table for ``phrases``.
 
     Entry ``state * (size + 1) + symbol`` is twice the next state's row, plus 1 if a phrase ended: there the
     symbol starts the next phrase. Symbol ``size`` is padding, which changes nothing.
@@ -88,31 +78,54 @@ def automaton(sample: list[int], size: int) -> np.ndarray:
                     follow[p][c] = clone
                     p = link[p]
         last = now
-    width = size + 1
-    start = np.zeros(width, dtype=np.int32)
+    width, alone = size + 1, len(follow)
+    # a symbol that the sample lacks is a phrase of its own: the state behind all others
+    start = np.full(width, alone, dtype=np.int64)
     for c, to in follow[0].items():
         start[c] = to
-    # no way on: the phrase ends, and the symbol starts the next one from the root
-    table = np.tile(start * width * 2 + 1, (len(follow), 1))
+    # no way on: the phrase ends, and the symbol starts the next one; at the start of a text none ends
+    table = np.tile(start * width * 2 + 1, (len(follow) + 1, 1))
+    table[0] -= 1
     for state, ways in enumerate(follow):
         table[state, list(ways.keys())] = np.fromiter(ways.values(), dtype=np.int64, count=len(ways)) * width * 2
-    table[:, size] = np.arange(len(follow)) * width * 2
+    table[:, size] = np.arange(len(follow) + 1) * width * 2
     return table.astype(np.int32).ravel()
 
 
-def phrases(rows: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """How many phrases of each language's text every row of symbols holds: (languages, rows)."""
-    out = np.zeros((len(tables), len(rows)), dtype=np.int32)
+def phrases(rows: np.ndarray, first: np.ndarray, table: np.ndarray, size: int, before: int = 0) -> tuple[np.ndarray, int]:
+    """How many phrases end in every row of symbols, and the state after the last row.
+
+    The rows are consecutive segments of texts, ``first`` marks those that start one, and ``before`` is the state in
+    which a first row that starts none begins. All rows step together from the root; then those whose text was in another
+    state go again from there, until they meet the states of before, which most do after a phrase or two, and so on
+    until no row's last state changes.
+    """
     steps = np.ascontiguousarray(rows.T).astype(np.int32)
-    for k, table in enumerate(tables):
-        state = np.zeros(len(rows), dtype=np.int32)
-        ended = out[k]
-        for column in steps:
-            state += column
-            state = table.take(state)
-            ended += state & 1
-            state >>= 1
-    return out
+    path = np.empty(steps.shape, dtype=np.int32)
+    state = np.zeros(len(rows), dtype=np.int32)
+    for at, column in enumerate(steps):
+        state += column
+        state = table.take(state)
+        path[at] = state
+        state >>= 1
+    ended = (path & 1).sum(axis=0, dtype=np.int64)
+    last = state.copy()
+    todo = np.flatnonzero(~first)
+    while len(todo):
+        live, state = todo, np.where(todo > 0, last[todo - 1], before)
+        for at in range(len(steps)):
+            if not len(live):
+                break
+            new = table.take(state + steps[at, live])
+            old = path[at, live]
+            ended[live] += (new & 1) - (old & 1)
+            path[at, live] = new
+            apart = new >> 1 != old >> 1
+            live, state = live[apart], (new >> 1)[apart]
+        last[live] = state
+        todo = live[live + 1 < len(rows)] + 1
+        todo = todo[~first[todo]]
+    return ended, int(last[-1])
 
 
 class Model:
@@ -122,9 +135,16 @@ class Model:
 
     def __init__(self, sample: dict[str, list[str]]):
         self.languages = sorted(sample)
-        letters = letters_of([t for lang in self.languages for t in sample[lang]])
-        self.table, self.size = symbol_table(letters), len(letters) + 2
-        self.tables = [automaton(np.concatenate([symbols(t, self.table) for t in sample[lang]])[:SAMPLE].tolist(), self.size) for lang in self.languages]
+        texts = [b" ".join(map(cleaned, sample[lang])) for lang in self.languages]
+        known = sorted(set(b"".join(texts)))
+        #: Bytes that no sample has share a symbol that no automaton has either.
+        self.map = np.full(256, len(known), dtype=np.uint8)
+        self.map[known] = np.arange(len(known))
+        self.size = len(known) + 1
+        self.tables = [automaton(self.symbols(t).tolist(), self.size) for t in texts]
+
+    def symbols(self, text: bytes) -> np.ndarray:
+        return self.map[np.frombuffer(text, dtype=np.uint8)]
 
     @classmethod
     def of(cls, sample: dict[str, list[str]]) -> Model:
@@ -134,41 +154,39 @@ class Model:
             cls.built[key] = cls(sample)
         return cls.built[key]
 
-    def costs(self, texts: list[str]) -> np.ndarray:
+    def costs(self, texts: list[bytes]) -> np.ndarray:
         """Phrases a symbol, by text and language."""
-        found = [symbols(t, self.table) for t in texts]
-        counts = [-(-len(s) // SEGMENT) for s in found]
-        total = np.zeros((len(texts), len(self.languages)))
+        counts = np.array([-(-len(t) // SEGMENT) for t in texts])
+        total = np.ones((len(texts), len(self.languages)))  # the phrase that a text ends in
         owner = np.repeat(np.arange(len(texts)), counts)
+        first = np.zeros(len(owner), dtype=bool)
+        first[(np.cumsum(counts) - counts)[counts > 0]] = True
+        states = [0] * len(self.languages)
+        padded = b"".join(t + bytes(-len(t) % SEGMENT) for t in texts)
         for at in range(0, len(owner), LANES):
             part = owner[at : at + LANES]
-            rows = np.full((len(part), SEGMENT), self.size, dtype=np.uint8)
-            first = int(np.searchsorted(owner, part[0]))
-            flat = rows.reshape(-1)
-            put = 0
-            for doc in range(part[0], part[-1] + 1):
-                skip = max(0, at - first) * SEGMENT if doc == part[0] else 0
-                piece = found[doc][skip : skip + len(flat) - put]
-                flat[put : put + len(piece)] = piece
-                put += -(-len(piece) // SEGMENT) * SEGMENT
-            ended = phrases(rows, self.tables)
-            for k in range(len(self.languages)):
-                total[:, k] += np.bincount(part, weights=ended[k], minlength=len(texts))
-        # the phrase that a segment ends in the middle of
-        total += np.array(counts)[:, None]
-        return total / np.maximum(1, [[len(s)] for s in found])
+            rows = self.symbols(padded[at * SEGMENT : (at + len(part)) * SEGMENT]).reshape(-1, SEGMENT)
+            ends = np.flatnonzero(np.append(part[1:] != part[:-1], True))
+            for row in ends:  # behind a text's end; where a text goes on in the next lanes, its row is full
+                left = counts[part[row]] * SEGMENT - len(texts[part[row]])
+                if left and (at + row + 1 == len(owner) or owner[at + row + 1] != part[row]):
+                    rows[row, SEGMENT - left :] = self.size
+            for k, table in enumerate(self.tables):
+                ended, states[k] = phrases(rows, first[at : at + LANES], table, self.size, states[k])
+                total[:, k] += np.bincount(part, weights=ended, minlength=len(texts))
+        return total / np.maximum(1, [[len(t)] for t in texts])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out = [("und", 0.0)] * len(texts)
         known = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
         at = 0
         while at < len(known):
-            to, held = at, 0
+            to, held, found = at, 0, []
             while to < len(known) and (to == at or held < SLICE):
-                held += len(texts[known[to]])
+                found.append(cleaned(texts[known[to]]))
+                held += len(found[-1])
                 to += 1
-            costs = self.costs([texts[i] for i in known[at:to]])
-            for i, row in zip(known[at:to], costs, strict=True):
+            for i, row in zip(known[at:to], self.costs(found), strict=True):
                 best = int(row.argmin())
                 others = np.delete(row, best)
                 second = float(others.min()) if len(others) else 1.0
@@ -178,17 +196,31 @@ class Model:
 
 
 def sample(docs: DataFrame, keep: Column, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
-    """The training sample: of every language at most ROWS rows for which ``keep`` holds, those whose text has
-    the least hash, and rows of SHORTEST to LONGEST characters before all others; of the LANGUAGES languages
-    with the most rows. A longer row that has to serve lends its first LONGEST characters.
+    """The training sample: of every language pieces of the rows for which ``keep`` holds and text and language are
+    there, different ones of the least hash, at most PIECES a language and ALL_PIECES in all, but one at least; pieces of
+    fewer than SHORTEST characters only after all others. Whole texts are cut, so every part of a text may serve.
+
+    One pass counts the different pieces of each language (about); the next keeps those under a hash that leaves a few
+    more than are needed, so that copies of a piece meet before they are shuffled and a hot text is one row.
     """
     t, l = F.col(f"`{text}`"), F.col(f"`{lang}`")  # noqa: E741
-    rows = docs.where(keep & t.isNotNull() & l.isNotNull()).select(l.alias("lang"), F.xxhash64(t).alias("hash"), (~F.length(t).between(SHORTEST, LONGEST)).alias("odd"), F.left(t, F.lit(LONGEST)).alias("text"))
+    cut = F.when(F.length(t) <= PIECE, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    rows = docs.where(keep & t.isNotNull() & l.isNotNull()).select(l.alias("lang"), F.explode(cut).alias("text"))
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("hash"), (F.length("text") < SHORTEST).alias("odd"))
+    there = F.approx_count_distinct(F.when(~F.col("odd"), F.col("hash"))).alias("n")
+    counted = rows.groupBy("lang").agg(there).limit(LANGUAGES + 1).collect()
+    if len(counted) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages are labelled")
+    if not counted:
+        return {}
+    each = max(1, min(PIECES, ALL_PIECES // len(counted)))
+    # 4 * each different pieces are expected under the bound; where there are too few, all serve
+    bounds = [(r["lang"], 2.0 if r["n"] < 8 * each else 4.0 * each / r["n"]) for r in counted]
+    near = rows.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound double")), "lang")
+    near = near.where((F.col("bound") > 1) | ~F.col("odd") & ((F.col("hash") / 2.0**64 + 0.5) < F.col("bound"))).dropDuplicates(["lang", "hash"])
     order = Window.partitionBy("lang").orderBy("odd", "hash", "text")
-    best = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROWS)
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     out: dict[str, list[str]] = {}
-    for r in best.join(top, "lang", "left_semi").orderBy("lang", "n").collect():
+    for r in near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).orderBy("lang", "n").collect():
         out.setdefault(r["lang"], []).append(r["text"])
     return {k: v for k, v in out.items() if any(c.isalpha() for x in v for c in x)}
 
@@ -215,8 +247,9 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", into: str = "language") -> DataFrame:
     """``docs`` with a struct ``into`` (replaced if there): held_out, lang_pred, score of the whole text.
 
-    Rows that aren't held out and have text and lang are learned from; only the text decides a prediction.
-    Repeated rows get the same result; an empty table gives an empty result.
+    Rows that aren't held out and have text and lang are learned from; only the text decides a prediction. Of
+    languages that need equally many phrases, the first by name wins. Very long texts are parsed whole. Repeated rows
+    get the same result; an empty table gives an empty result; other columns, whatever their names, pass through.
     """
     out = held_out(F.col(f"`{doc_id}`"))
     predict = predictor(sample(docs, ~out, text, lang))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,9 +65,14 @@ class Fitted:
         """P(grade >= k) for k = 1 to K: (rows, K)."""
         return 1 / (1 + np.exp(np.clip(self.cuts[None] - f[:, None], -50, 50)))
 
-    def positions(self, rows: list[np.ndarray]) -> np.ndarray:
-        full = np.zeros(DIMENSIONS)
-        full[self.dims] = self.weights
+    def full(self) -> np.ndarray:
+        """The weight of every dimension."""
+        out = np.zeros(DIMENSIONS)
+        out[self.dims] = self.weights
+        return out
+
+    def positions(self, rows: list[np.ndarray], full: np.ndarray | None = None) -> np.ndarray:
+        full = self.full() if full is None else full
         return np.array([full[r].sum() for r in rows], dtype=np.float64)
 
 
@@ -124,7 +130,8 @@ def graded(labels: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, ratings: DataFrame, top: int = 2, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Fitted:
     """Fits on at most ``sample`` rated documents; ``ratings`` is (doc_id, grade) with grades 0 to ``top``.
 
-    An id that is rated more than once counts with its least grade."""
+    An id that is rated more than once counts with its least grade, and one that several rows of ``docs`` share with its
+    least text (null, as an empty text, only where there is no other)."""
     chosen = ratings.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     @F.pandas_udf("binary")
@@ -132,21 +139,24 @@ def learn(docs: DataFrame, ratings: DataFrame, top: int = 2, text: str = "text",
         hashed = Hasher()
         return t.map(lambda x: hashed(x).tobytes())
 
-    # the limit bounds what is broadcast and what comes back
+    # the limit bounds what is broadcast; one row an id comes back
     rated = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("t")).join(F.broadcast(chosen), "doc_id")
-    found = rated.select("doc_id", "grade", features("t").alias("x")).orderBy("doc_id", "x").limit(2 * sample).collect()
+    each = rated.groupBy("doc_id", "grade").agg(F.min("t").alias("t"))
+    found = each.select("doc_id", "grade", features("t").alias("x")).orderBy("doc_id").collect()
     return fit([np.frombuffer(r["x"], dtype=np.int32) for r in found], np.array([r["grade"] for r in found], dtype=np.int64), top)
 
 
 def rate(docs: DataFrame, fitted: Fitted, text: str = "text", into: str = "rating", keep_from: float = 0.5) -> DataFrame:
     """``docs`` with a struct ``into`` (replaced if there): expected_grade, tail (of the top grade) and kept
-    (tail at least ``keep_from``). A null text is an empty one; every row of the whole table is rated."""
+    (tail at least ``keep_from``, so a tail equal to it is kept). A null text is an empty one; very long texts are read
+    whole; every row of the whole table is rated, repeated ones alike; an empty table gives an empty result."""
 
     @F.pandas_udf("expected_grade double, tail double")
-    def score(t: pd.Series) -> pd.DataFrame:
-        hashed = Hasher()
-        tails = fitted.tails(fitted.positions([hashed(x) for x in t]))
-        return pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail": tails[:, -1]})
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hashed, full = Hasher(), fitted.full()
+        for t in batches:
+            tails = fitted.tails(fitted.positions([hashed(x) for x in t], full))
+            yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail": tails[:, -1]})
 
     scored = docs.withColumn(into, score(F.col(f"`{text}`")))
     return scored.withColumn(into, F.struct(f"`{into}`.*", (F.col(f"`{into}`")["tail"] >= keep_from).alias("kept")))

@@ -54,7 +54,7 @@ def test_search_equals_brute_force():
         want = {i: edit(d.normalise(t), body) for i, t in items if len(d.normalise(t)) >= d.PIECE}
         want = {i: e for i, e in want.items() if e <= d.budget(d.normalise(items[i][1]))}
         assert {h[0] for h in hits} == set(want)
-        for i, e, lo, hi in hits:
+        for i, e, lo, hi, _ in hits:
             assert e == want[i] and edit(d.normalise(items[i][1]), body[lo:hi]) == e
 
 
@@ -104,7 +104,7 @@ def test_short_items_equal_brute_force():
     for text, hits in zip(texts, found, strict=True):
         body = b" " + d.normalise(text or "") + b" "
         places = [(i, body.find(b" " + x + b" "), len(x)) for i, x in enumerate(items)]
-        assert hits == [(i, 0, at, at + n) for i, at, n in places if at >= 0]
+        assert sorted(hits) == [(i, 0, at, at + n, None) for i, at, n in places if at >= 0]
 
 
 def test_items_without_an_id_and_short_items_are_searched(spark, monkeypatch):
@@ -117,3 +117,32 @@ def test_items_without_an_id_and_short_items_are_searched(spark, monkeypatch):
         got = [(r["doc_id"], r["item_id"], r["distance"], r["start"], r["end"]) for r in d.leaks(docs, bench, [F.col("doc_id")]).collect()]
         assert sorted(got, key=str) == [(0, None, 0, 4, 39), (0, None, 0, 40, 69), (1, 1, 0, 2, 7), (4, 2, 0, 4, 9)]
         assert sorted(r["doc_id"] for r in d.drop_leaks(docs, bench).collect()) == [2, 3, 5]
+
+
+def test_rows_do_not_depend_on_the_block_size(spark, monkeypatch):
+    items = [(7, "One item, of some length."), (7, "one ITEM of some -- length"), (7, "a wholly different text of the item"), (7, "of it"), (None, "An item without an id"), (None, "an item, without an id!"), (8, "one item of some length")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    both = "x a wholly different text of the item, one item of some length; of it"
+    rows = [(1, both, 5), (1, both, 5), (2, "an item without an id", 6), (None, "one item of some lengthy", 7), (3, "nothing", 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, distance int")
+    keys = [F.col("doc_id"), F.col("distance"), F.col("text").alias("start")]
+    got = {}
+    for size in (8_000_000, 60):
+        monkeypatch.setattr(d, "BLOCK_BYTES", size)
+        found = d.leaks(docs, bench, keys)
+        assert found.columns == ["doc_id", "doc_distance", "doc_start", "item_id", "distance", "start", "end"]
+        got[size] = sorted(map(tuple, found.collect()), key=str)
+        assert [r["doc_id"] for r in d.drop_leaks(docs, bench).collect()] == [3]
+    assert got[8_000_000] == got[60]
+    assert [(r[0], *r[3:]) for r in got[60]].count((1, 7, 0, 2, 37)) == 2 and len(got[60]) == 7
+
+
+def test_long_texts_are_searched_whole(monkeypatch):
+    item = "the item that stands somewhere in a very long text"
+    index = d.Index([(1, d.normalise(item))])
+    monkeypatch.setattr(d, "SLICE", 1000)
+    rng = random.Random(4)
+    for at in (0, 950, 990, 1000, 4999, 20_000):
+        text = "".join(rng.choices("qxz ", k=at)) + " " + item + " " + "".join(rng.choices("qxz ", k=3000))
+        ((hit,),) = d.search(index, [text])
+        assert hit[:2] == (1, 0) and d.normalise(text)[hit[2] : hit[3]] == d.normalise(item)

@@ -17,12 +17,13 @@ def draws(rows, seed=mixing.SEED):
         chars[source] = chars.get(source, 0) + len(text or "")
     live = [s for s, n in chars.items() if n]
     out = {}
-    for i, _, source in rows:
+    for i, text, source in rows:
         mean = sum(chars.values()) / len(live) / chars[source] if chars[source] else 0.0
         parts = max(1, math.ceil(mean / mixing.PART))
         n = 0
         for part in range(1, parts + 1):
-            u = int(hashlib.md5(f"{seed}:{part}:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+            name = i if i is not None else "text:" + hashlib.md5((text or "").encode()).hexdigest()
+            u = int(hashlib.md5(f"{seed}:{part}:{name}".encode()).hexdigest()[:13], 16) / 2**52
             m, k = mean / parts, 0
             p = math.exp(-m)
             total = p
@@ -38,9 +39,9 @@ def draws(rows, seed=mixing.SEED):
 def test_counts_equal_plain_inversion(spark):
     rows = [(i, "x" * (i % 50 + 1), f"s{i % 4}" if i % 9 else None) for i in range(400)] + [(1000, "tiny", "rare"), (1001, "", "empty"), (1002, None, "empty")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("copy", F.lit("old"))
-    got = mixing.mix(df).groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.max("copy").alias("c")).collect()
+    got = mixing.mix(df).groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("c"), F.count_distinct("mix_key").alias("k")).collect()
     want = {k: v for k, v in draws(rows).items() if v}
-    assert {(r["doc_id"], r["source"]): r["n"] for r in got} == want and all(r["n"] == r["c"] for r in got)
+    assert {(r["doc_id"], r["source"]): r["n"] for r in got} == want and all(r["n"] == r["c"] == r["k"] for r in got)
     assert want[1000, "rare"] > mixing.PART
     assert mixing.mix(df.where("false")).count() == 0
 
@@ -52,6 +53,39 @@ def test_shares_meet_the_targets(spark):
     assert mixing.mix(df, {"big": 1.0}).where("source = 'small'").count() == 0
 
 
+def test_a_minute_source_is_drawn_by_many_tasks(spark):
+    rows = [(1, "x", "minute"), (2, "y" * 2_000_000, "large")]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(2))
+    got = mixed.where("source = 'minute'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    n = sum(r["count"] for r in got)
+    assert n == draws(rows)[1, "minute"] and abs(n - 1_000_000) < 5_000
+    assert len(got) > 1 and max(r["count"] for r in got) < 0.6 * n
+
+
+def test_a_mean_beyond_the_limit_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST", 500.0)
+    df = spark.createDataFrame([(1, "x", "minute"), (2, "y" * 2_000, "large")], "doc_id bigint, text string, source string")
+    with pytest.raises(Exception, match="too few characters for the target of source minute"):
+        mixing.mix(df)
+
+
+def test_null_ids_and_repeated_rows_are_dealt_apart(spark):
+    rows = [(None, f"text number {i}", "a") for i in range(300)] + [(7, "one text, many rows", "a")] * 300 + [(None, None, "a"), (None, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        mixed = mixing.mix(df, {"a": 1.0}).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(setting, before)
+    n = {t: draws([(None, t, "a")])[None, "a"] for _, t, _ in rows[:300]}  # one source: every mean is 1
+    got = [r["text"] for r in mixed if r["doc_id"] is None and r["text"]]
+    assert {t: got.count(t) for t in n} == n and 100 < len(set(got)) < 260
+    same = [r["p"] for r in mixed if r["doc_id"] == 7]
+    assert len(same) % 300 == 0 and (not same or len(set(same)) > 1)
+
+
 def test_order_is_global_and_repeatable(spark):
     df = spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source"))
     parts = mixing.mix(df).select("doc_id", "mix_key", F.spark_partition_id().alias("p")).collect()

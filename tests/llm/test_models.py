@@ -10,20 +10,81 @@ from tessera.llm import html_text, language_id, quality_classifier
 from tessera.llm.queries import QUERIES
 
 
+def greedy(text, sample):
+    """How many phrases of ``sample`` a text is parsed into, by plain search; a symbol it lacks is a phrase."""
+    n, at = 0, 0
+    while at < len(text):
+        to = at + 1
+        while to < len(text) and text[at : to + 1] in sample:
+            to += 1
+        n, at = n + 1, to
+    return n
+
+
 def test_automaton_parses_like_a_search():
     rng = random.Random(3)
     for _ in range(30):
-        sample = [rng.randrange(1, 5) for _ in range(rng.randint(1, 60))]
-        text = [rng.randrange(1, 7) for _ in range(50)]
-        table = language_id.automaton(sample, 7)
-        joined = "".join(map(chr, sample))
-        n, held = 0, ""
-        for c in map(chr, text):
-            if held + c in joined:
-                held += c
-            else:
-                n, held = n + 1, c if c in joined else ""
-        assert language_id.phrases(np.array([text + [7, 7]], dtype=np.uint8), [table])[0, 0] == n
+        sample = bytes(rng.randrange(5) for _ in range(rng.randint(1, 60)))
+        text = bytes(rng.randrange(7) for _ in range(50))
+        table = language_id.automaton(list(sample), 7)
+        rows = np.array([*text, *[7] * 14], dtype=np.uint8).reshape(-1, 8)
+        ended, _ = language_id.phrases(rows, np.arange(len(rows)) == 0, table, 7)
+        assert ended.sum() + 1 == greedy(text, sample)
+
+
+@pytest.mark.parametrize("lanes", [2, 1 << 14])
+def test_costs_equal_a_plain_parse(monkeypatch, lanes):
+    monkeypatch.setattr(language_id, "LANES", lanes)
+    monkeypatch.setattr(language_id, "SEGMENT", 16)
+    rng = random.Random(8)
+    sample = {lang: ["".join(rng.choices(letters, k=400)) for _ in range(3)] for lang, letters in {"a": "abcde  ", "b": "cdefgß ", "c": "жзийк ", "d": "日本語文字 ", "e": "abcde  "}.items()}
+    model = language_id.Model(sample)
+    texts = ["".join(rng.choices("abcdefgß жзий日本x. ", k=rng.choice((1, 3, 15, 16, 17, 40, 200, 700)))) for _ in range(40)]
+    texts += [sample["c"][1], sample["a"][0] + sample["b"][2], " ".join(sample["d"]), "日" * 100, "a", None, "", "12 -"]
+    held = {lang: b" ".join(map(language_id.cleaned, sample[lang])) for lang in sample}
+    for text, (lang, score) in zip(texts, model.predict(texts), strict=True):
+        if not text or not any(map(str.isalpha, text)):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        body = language_id.cleaned(text)
+        cost = {x: greedy(body, held[x]) / len(body) for x in sorted(held)}
+        best = min(cost, key=cost.get)  # the first of equals
+        second = min(v for x, v in cost.items() if x != best)
+        assert lang == best and score == pytest.approx(second / (second + cost[best]))
+
+
+def test_query_equals_a_plain_parse_end_to_end(spark):
+    import zlib
+
+    rng = random.Random(12)
+    words = {lang: ["".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(150)] for lang, letters in {"x": "abcdefgh", "y": "efghijkl", "z": "αβγδεζηθ"}.items()}
+    docs = [(i, " ".join(rng.choices(words[lang], k=rng.choice((1, 5, 30, 400)))), lang) for i, lang in enumerate(rng.choices("xyz", k=120))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    trained = language_id.sample(df, ~language_id.held_out(F.col("doc_id")))
+    pieces = lambda t: [t[k : k + language_id.PIECE] for k in range(0, len(t), language_id.PIECE)]
+    allowed = {lang: {p for i, t, x in docs if x == lang and not out(i) for p in pieces(t)} for lang in "xyz"}
+    assert all(len(trained[x]) == min(language_id.PIECES, len(allowed[x])) and set(trained[x]) <= allowed[x] and len(set(trained[x])) == len(trained[x]) for x in "xyz")
+    held = {lang: b" ".join(map(language_id.cleaned, trained[lang])) for lang in trained}
+    got = {r["doc_id"]: r["language"] for r in language_id.identify(df).collect()}
+    for i, t, _ in docs:
+        body = language_id.cleaned(t)
+        cost = {x: greedy(body, held[x]) / len(body) for x in sorted(held)}
+        best = min(cost, key=cost.get)
+        second = min(v for x, v in cost.items() if x != best)
+        assert got[i]["lang_pred"] == best and got[i]["held_out"] == out(i) and got[i]["score"] == pytest.approx(second / (second + cost[best]))
+
+
+def test_sample_of_hot_and_long_texts(spark):
+    long = " ".join(f"word{i}" for i in range(3_000))
+    rows = [(0, "the same hot text of this language, again and again, so that it is a piece of more than a hundred characters in all", "en")] * 400
+    rows += [(1, long, "en"), (2, "short", "fr"), (3, long.replace("o", "é"), "de"), *[(i, f"label {i} " * 20, f"l{i}") for i in range(70)]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language_id.sample(df, F.lit(True))
+    assert len(got) == 73 and got["fr"] == ["short"] and len(got["l5"]) == 1
+    each = language_id.ALL_PIECES // 73
+    assert len(got["en"]) == len(set(got["en"])) == each and len(got["de"]) == each
+    assert any(p in long[language_id.PIECE :] for p in got["en"])
 
 
 def test_long_texts_are_read_whole():
@@ -89,6 +150,83 @@ def test_classifier_of_odd_tables(spark):
     assert quality_classifier.learn(docs, quality_classifier.graded(some)).cuts.shape == (2,)
 
 
+def plain_fit(texts, grades, top):
+    """The two passes of the fit, one row and weight at a time: gradients of the mean log-likelihood by their formulas."""
+    import math
+
+    q = quality_classifier
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    rows = [sorted(q.Hasher()(t).tolist()) for t in texts]
+
+    def ascend(rows, sparsity, decay):
+        dims = sorted({d for r in rows for d in r})
+        w, gw = dict.fromkeys(dims, 0.0), dict.fromkeys(dims, 1e-6)
+        theta, gt = [-(top - 1) / 2] + [0.0] * (top - 1), [1e-6] * top
+        cuts = lambda: [theta[0] + sum(math.exp(x) for x in theta[1 : k + 1]) for k in range(top)]
+        for _ in range(q.EPOCHS):
+            t, grad, by_cut = cuts(), {d: decay * w[d] for d in dims}, [0.0] * top
+            for r, y in zip(rows, grades, strict=True):
+                f = sum(w[d] for d in r)
+                a = sigmoid(f - t[y - 1]) if y else 1.0
+                b = sigmoid(f - t[y]) if y < top else 0.0
+                p, da, db = max(a - b, 1e-9), a * (1 - a), b * (1 - b)
+                for d in r:
+                    grad[d] -= (da - db) / p / len(rows)
+                if y:
+                    by_cut[y - 1] += da / p / len(rows)
+                if y < top:
+                    by_cut[y] -= db / p / len(rows)
+            for d in dims:
+                gw[d] += grad[d] ** 2
+                w[d] -= q.RATE * grad[d] / math.sqrt(gw[d])
+                w[d] = math.copysign(max(abs(w[d]) - q.RATE * sparsity / math.sqrt(gw[d]), 0.0), w[d])
+            for k in range(top):
+                g = sum(by_cut[k:]) * (math.exp(theta[k]) if k else 1.0)
+                gt[k] += g * g
+                theta[k] -= q.RATE * g / math.sqrt(gt[k])
+        return w, cuts()
+
+    often = {}
+    for r in rows:
+        for d in r:
+            often[d] = often.get(d, 0) + 1
+    w, _ = ascend([[d for d in r if often[d] >= q.LEAST_ROWS] for r in rows], q.SPARSITY, 0.0)
+    chosen = {d for d, v in w.items() if v}
+    return ascend([[d for d in r if d in chosen] for r in rows], 0.0, q.DECAY)
+
+
+def test_classifier_equals_a_plain_fit_end_to_end(spark, monkeypatch):
+    import math
+
+    monkeypatch.setattr(quality_classifier, "EPOCHS", 40)
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(60)}"
+    rows = []
+    for i in range(90):
+        g = rng.randrange(3)
+        rows.append((i, " ".join([word() for _ in range(12)] + ["good"] * (g == 2) + ["bad"] * (g == 0)), g))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(5, "zzz a greater text of the same id"), (6, None), (None, "x"), (200, "not rated good")], "doc_id bigint, text string")
+    ratings = spark.createDataFrame([(i, g) for i, _, g in rows] + [(7, 2), (999, 1)], "doc_id bigint, grade int")
+    grades = [g for _, _, g in rows]
+    fitted = quality_classifier.learn(docs, ratings)
+    w, cuts = plain_fit([t for _, t, _ in rows], grades, 2)
+    assert np.allclose(fitted.cuts, cuts) and fitted.dims.tolist() == sorted(w) and np.allclose(fitted.weights, [w[d] for d in fitted.dims.tolist()])
+    for r in quality_classifier.rate(docs.withColumn("rating", F.lit("x")), fitted, keep_from=0.4).collect():
+        f = sum(w.get(d, 0.0) for d in quality_classifier.Hasher()(r["text"]).tolist())
+        tails = [1 / (1 + math.exp(c - f)) for c in cuts]
+        assert r["rating"]["expected_grade"] == pytest.approx(sum(tails)) and r["rating"]["tail"] == pytest.approx(tails[-1]) and r["rating"]["kept"] == (r["rating"]["tail"] >= 0.4)
+
+
+def test_classifier_of_repeated_and_very_long_rows(spark):
+    docs = spark.createDataFrame([(1, "good words " * 100_000), (1, "good words " * 100_000), (2, "bad"), (3, None), (3, "c"), *[(4, "a copy")] * 50], "doc_id bigint, text string")
+    fitted = quality_classifier.learn(docs, spark.createDataFrame([(i, i % 3) for i in range(1, 5)], "doc_id bigint, grade int"), sample=3)
+    got = quality_classifier.rate(docs, fitted).select("text", "rating.*").collect()
+    assert len(got) == 55 and len({(r["text"], r["tail"]) for r in got}) == len({r["text"] for r in got})
+    tail = got[0]["tail"]
+    kept = quality_classifier.rate(docs, fitted, keep_from=tail).where(F.col("rating.tail") == tail).select("rating.kept").distinct().collect()
+    assert [r[0] for r in kept] == [True]
+
+
 PAGES = {
     "<html><body><nav><a href=x>Home</a></nav><article><h1>Title &amp; more</h1><p>First <b>bo</b>ld\n  text.<p>Second &#8217;x&#x2019;.</article><footer>&copy; x</footer></body></html>": "Title & more First bold text. Second ’x’.",
     "<script>var a='<p>no</p>'</script><main><p title='a > b'>Yes it is a sentence.</p><!-- <p>no</p> --><style>p{}</style></main>": "Yes it is a sentence.",
