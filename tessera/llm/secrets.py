@@ -153,8 +153,10 @@ def _apart(spans: Column, others: Column) -> Column:
 def _likely(text: Column, letters: str, ratio: Ratio) -> Column:
     """array<struct<s, e>> of the maximal stretches of ``letters`` that the models call random."""
     least = least_length(ratio)
+    # looking behind saves a new try at every place inside a word
+    pattern = f"(?<!{letters}){letters}{{{least},}}+"
     ok = lambda run: let(ratio.column(run), lambda x: (x >= ratio.threshold * F.length(run)) & (x >= MIN_SCORE))
-    return _bare(F.filter(_found(text, f"{letters}{{{least},}}", 0, least), lambda x: ok(x["hit"])))
+    return _bare(F.filter(_found(text, pattern, 0, least), lambda x: ok(x["hit"])))
 
 
 def scan(docs: DataFrame, text: str = "text", into: str = "secrets", ratio: Ratio | None = None) -> DataFrame:
@@ -168,7 +170,9 @@ def scan(docs: DataFrame, text: str = "text", into: str = "secrets", ratio: Rati
     """
     ratio = ratio or model()
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    base = docs.withColumns({f"_tessera_{k}": _bare(_found(body, *v)) for k, v in BASE.items()} | {"_tessera_runs": _likely(body, RUN, ratio), "_tessera_pieces": _likely(body, PIECE, ratio)})
+    # where nothing stands between pieces, they are the runs
+    pieces = F.when(body.contains("=") | body.contains("/"), _likely(body, PIECE, ratio)).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    base = docs.withColumns({f"_tessera_{k}": _bare(_found(body, *v)) for k, v in BASE.items()} | {"_tessera_runs": _likely(body, RUN, ratio), "_tessera_pieces": pieces})
     known = F.concat(*[F.col(f"_tessera_{k}") for k in BASE])
     runs = base.withColumn("_tessera_runs", _apart(F.col("_tessera_runs"), known))
     found = runs.withColumn(f"_tessera_{METHOD}", F.concat("_tessera_runs", _apart(F.col("_tessera_pieces"), F.concat(known, "_tessera_runs"))))
