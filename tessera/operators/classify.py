@@ -25,7 +25,7 @@ def forward(target: DataFrame, source: DataFrame) -> DataFrame:
 
 def plan(target: Snapshot, source: Snapshot, mode: str = "best") -> DataFrame:
     """The delta plan, one row a target entry, without patches:
-    (ti, path, kind, status, si, s_path, src_off, src_size, t_size, t_sha).
+    (ti, path, kind, status, si, s_path, s_sha, src_off, src_size, t_size, t_sha).
 
     ``best`` matches by path and shape and calls entries identical by size and SHA-256. ``compat`` follows the
     forward reader and its size and CRC-32, but an entry behind the cursor is never identical: it is stored
@@ -45,7 +45,7 @@ def plan(target: Snapshot, source: Snapshot, mode: str = "best") -> DataFrame:
     state = status(F.when(usable, F.col("si")), eff, F.col("t_size"), F.coalesce(same, F.lit(False)))
     done = rows.withColumn("status", state).withColumn("_usable", usable & (F.col("status") != "new"))
     return done.select(
-        "ti", "path", "kind", "status", F.when(F.col("_usable"), F.col("si")).alias("si"), F.when(F.col("_usable"), F.col("s_path")).alias("s_path"),
+        "ti", "path", "kind", "status", F.when(F.col("_usable"), F.col("si")).alias("si"), F.when(F.col("_usable"), F.col("s_path")).alias("s_path"), F.when(F.col("_usable"), F.col("s_sha")).alias("s_sha"),
         F.when(F.col("_usable"), F.col("src_off")).alias("src_off"), F.when(F.col("_usable"), F.col("s_size")).otherwise(0).alias("src_size"), "t_size", "t_sha",
     )
 
@@ -55,7 +55,8 @@ def new_entries(target: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def removed_entries(planned: DataFrame, source: DataFrame) -> DataFrame:
-    """Source entries that no target entry refers to."""
+    """Source entries that no row of ``planned`` refers to by ``si``: with exact matches, those whose path is gone; with
+    a whole plan, those that no delta needs. Of source entries with one path, all but the last are removed."""
     return source.join(planned.where("si is not null").select(F.col("si").alias("idx")), "idx", "left_anti").select("idx", "path", "size")
 
 

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classify
 from .codec import DEFAULT, codec
-from ..sources.snapshots import Snapshot
+from ..session import ship
+from ..sources.snapshots import Snapshot, contents
 
-COLUMNS = ["ti", "path", "kind", "status", "si", "s_path", "src_off", "src_size", "t_size", "t_sha", "codec", "patch", "patch_size"]
+COLUMNS = ["ti", "path", "kind", "status", "si", "s_path", "s_sha", "src_off", "src_size", "t_size", "t_sha", "codec", "patch", "patch_size"]
 
 
 def _encoder(name: str):
+    ship(SparkSession.active())
     encode = codec(name).encode
 
     @F.pandas_udf("binary")
@@ -24,6 +26,7 @@ def _encoder(name: str):
 
 
 def _decoder(name: str):
+    ship(SparkSession.active())
     decode = codec(name).decode
 
     @F.pandas_udf("binary")
@@ -40,18 +43,17 @@ def generate(source: Snapshot, target: Snapshot, name: str = DEFAULT, mode: str
     empty = F.lit(None)
     same = planned.where("status = 'identical'").select(*planned.columns, empty.cast("binary").alias("patch"), empty.cast("bigint").alias("patch_size"))
     changed = planned.where("status <> 'identical'")
-    after = target.payload.select("path", F.col("content").alias("_t"))
-    before = source.payload.select(F.col("path").alias("s_path"), F.col("content").alias("_s"))
-    met = changed.join(after, "path").join(before, "s_path", "left")
+    after = contents(changed, target.payload, "ti", "path", "t_sha", "_t")
+    met = contents(after, source.payload, "ti", "s_path", "s_sha", "_s", "left")
     patch = _encoder(name)(F.coalesce("_s", F.lit(b"")), F.col("_t"))
     patched = met.select(*planned.columns, patch.alias("patch")).withColumn("patch_size", F.octet_length("patch").cast("bigint"))
     return same.unionByName(patched).select(COLUMNS)
 
 
 def apply(delta: DataFrame, source: Snapshot, name: str = DEFAULT) -> DataFrame:
-    """(idx, path, content) of the target. An entry whose source is missing is an error, not a gap."""
-    before = source.payload.select(F.col("path").alias("s_path"), F.col("content").alias("_s"))
-    met = delta.join(before, "s_path", "left")
+    """(idx, path, content) of the target, one row a delta row. A source entry that is missing, or whose content is
+    another than the delta was made of, is an error, not a gap."""
+    met = contents(delta, source.payload, "ti", "s_path", "s_sha", "_s", "left")
     missing = F.col("s_path").isNotNull() & F.col("_s").isNull()
     base = F.when(missing, F.raise_error(F.concat(F.lit("no source entry "), F.col("s_path"))).cast("binary")).otherwise(F.coalesce("_s", F.lit(b"")))
     same = met.where("status = 'identical'").select(F.col("ti").alias("idx"), "path", base.alias("content"))
@@ -60,9 +62,16 @@ def apply(delta: DataFrame, source: Snapshot, name: str = DEFAULT) -> DataFrame:
 
 
 def verify(rebuilt: DataFrame, target: DataFrame) -> DataFrame:
-    """(path, problem) of what differs between rebuilt entries and the target's (path, size, sha): missing,
-    extra, size or content. Empty if all is well."""
-    r = rebuilt.select("path", F.octet_length("content").alias("r_size"), F.sha2("content", 256).alias("r_sha"))
-    t = target.select("path", F.col("size").alias("t_size"), F.col("sha").alias("t_sha"))
-    problem = F.when(F.col("r_sha").isNull(), "missing").when(F.col("t_sha").isNull(), "extra").when(F.col("r_size") != F.col("t_size"), "size").when(F.col("r_sha") != F.col("t_sha"), "content")
-    return r.join(t, "path", "full_outer").select("path", problem.alias("problem")).where("problem is not null")
+    """(idx, path, problem) of what differs between rebuilt entries (idx, path, content) and the target's (idx, path,
+    size, sha): missing, extra, repeated, size or content. Empty if all is well."""
+    some = rebuilt.select("idx", "path", F.octet_length("content").alias("size"), F.sha2("content", 256).alias("sha"))
+    r = some.groupBy("idx", "path").agg(F.count("*").alias("n"), F.min("size").alias("r_size"), F.min("sha").alias("r_sha"))
+    t = target.groupBy("idx", "path").agg(F.min("size").alias("t_size"), F.min("sha").alias("t_sha"))
+    problem = (
+        F.when(F.col("n").isNull(), "missing")
+        .when(F.col("t_sha").isNull(), "extra")
+        .when(F.col("n") > 1, "repeated")
+        .when(F.col("r_size") != F.col("t_size"), "size")
+        .when(F.col("r_sha") != F.col("t_sha"), "content")
+    )
+    return r.join(t, ["idx", "path"], "full_outer").select("idx", "path", problem.alias("problem")).where("problem is not null")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import DEFAULT, codec
-from ..sources.snapshots import Snapshot
+from ..sources.snapshots import Snapshot, contents
 
 #: The largest stream, in bytes.
 LIMIT = 512 << 20
@@ -21,7 +21,7 @@ def stream(snapshot: Snapshot) -> bytes:
     total = snapshot.entries.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     if total > LIMIT:
         raise ValueError(f"{total} bytes are too many for one patch; use a per-entry delta")
-    rows = snapshot.entries.select("idx", "path").join(snapshot.payload, "path").orderBy("idx").toLocalIterator()
+    rows = contents(snapshot.entries.select("idx", "path", "sha"), snapshot.payload, "idx").select("idx", "path", "content").orderBy("idx").toLocalIterator()
     lines, parts = [], []
     for r in rows:
         lines.append(f"{len(r['content'])} {r['path']}\n".encode("utf-8", "surrogateescape"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import classify, codec, delta, images, whole
 from ..session import ship
 from ..sources import container, headers, snapshots, streams
+from .scratch import Scratch
 
 GRANULARITIES = ("entry", "whole")
 
@@ -27,7 +28,7 @@ def generate(spark: SparkSession, source: str, target: str, out: str, codec_name
         meta.write.mode("overwrite").parquet(f"{out}/header")
         return spark.createDataFrame([("whole", 1, len(patch))], "status string, entries bigint, record_bytes bigint")
     delta.generate(s, t, codec_name, mode).write.mode("overwrite").parquet(f"{out}/records")
-    t.entries.select("path", "size", "sha").write.mode("overwrite").parquet(f"{out}/target")
+    t.entries.select("idx", "path", "size", "sha").write.mode("overwrite").parquet(f"{out}/target")
     meta.write.mode("overwrite").parquet(f"{out}/header")
     return classify.summary(spark.read.parquet(f"{out}/records"), F.col("patch_size"))
 
@@ -43,7 +44,7 @@ def apply(spark: SparkSession, source: str, delta_path: str, out: str | None = N
     if meta["granularity"] == "whole":
         rebuilt = whole.apply(s, bytes(records.first()["patch"]), name)
     else:
-        rebuilt = delta.apply(records, s, name)
+        rebuilt = Scratch(spark, "apply").keep(delta.apply(records, s, name))  # decoded once, read by the check and the writer
         wrong = delta.verify(rebuilt, spark.read.parquet(f"{delta_path}/target")).limit(5).collect()
         if wrong:
             raise ValueError("the rebuilt target differs: " + ", ".join(f"{r['path']} ({r['problem']})" for r in wrong))
@@ -125,13 +126,13 @@ def import_container(spark: SparkSession, source: str, path: str) -> DataFrame:
     target = spark.createDataFrame([(i, e.path, e.size) for i, e in enumerate(names)], "ti bigint, path string, t_size bigint")
     s = snapshots.of_pseudo(spark, source)
     records = container.read_container(spark, path).where("ti >= 0")
-    by_index = s.entries.select(F.col("idx").alias("_i"), F.col("path").alias("_p"))
-    by_off = s.entries.where("size > 0").select((F.col("off") + start).alias("_o"), F.col("path").alias("_q"))
+    by_index = s.entries.select(F.col("idx").alias("_i"), F.col("path").alias("_p"), F.col("sha").alias("_ps"))
+    by_off = s.entries.where("size > 0").select((F.col("off") + start).alias("_o"), F.col("path").alias("_q"), F.col("sha").alias("_qs"))
     met = records.join(by_index, F.col("si") == F.col("_i"), "left").join(by_off, (F.col("src_off") == F.col("_o")) & (F.col("src_size") > 0), "left")
     lost = (F.col("si").isNotNull() & F.col("_p").isNull()) | ((F.col("src_size") > 0) & F.col("_q").isNull())
-    named = met.withColumn("s_path", F.when(lost, F.raise_error(F.lit("a record refers to no source entry")).cast("string")).otherwise(F.coalesce("_p", "_q")))
+    named = met.withColumn("s_path", F.when(lost, F.raise_error(F.lit("a record refers to no source entry")).cast("string")).otherwise(F.coalesce("_p", "_q"))).withColumn("s_sha", F.coalesce("_ps", "_qs"))
     table = named.join(target, "ti", "full_outer").withColumn("status", F.when(F.col("kind") == "identical", "identical").otherwise("modified"))
-    rebuilt = delta.apply(table.select("ti", "path", "status", "s_path", "patch"), s, chosen.name)
+    rebuilt = delta.apply(table.select("ti", "path", "status", "s_path", "s_sha", "patch"), s, chosen.name)
     right = rebuilt.join(target.select(F.col("ti").alias("idx"), "t_size"), "idx")
     body = F.when(F.octet_length("content") == F.col("t_size"), F.col("content")).otherwise(F.raise_error(F.concat(F.lit("wrong size: "), F.col("path"))).cast("binary"))
     return right.select("idx", "path", body.alias("content"))

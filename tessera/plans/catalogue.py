@@ -272,8 +272,9 @@ def apply_reconstruct(spark, sf_dir):
 def _modified(spark, sf_dir) -> DataFrame:
     """(ti, path, source, target) of entries in both snapshots whose contents differ."""
     s, t = _documents(spark, sf_dir)
-    changed = match.exact(t.entries, s.entries).where("s_sha <> t_sha").select(F.col("t_idx").alias("ti"), "path")
-    return changed.join(s.payload.withColumnRenamed("content", "source"), "path").join(t.payload.withColumnRenamed("content", "target"), "path")
+    changed = match.exact(t.entries, s.entries).where("s_sha <> t_sha").select(F.col("t_idx").alias("ti"), "path", "s_sha", "t_sha")
+    before = snapshots.contents(changed, s.payload, "ti", "path", "s_sha", "source")
+    return snapshots.contents(before, t.payload, "ti", "path", "t_sha", "target").select("ti", "path", "source", "target")
 
 
 @query(f"{_PAIR} select t.idx as ti, path, t.size as size, md5(t.content) as md5 from t join s using (path) where s.content <> t.content")
@@ -299,11 +300,57 @@ def block_delta_ops(spark, sf_dir):
     return blocks.summary(_modified(spark, sf_dir).select("ti", "source", "target"))
 
 
-@query("select 0 as mismatches")
+@query(
+    f"""{_PAIR}, damaged as (select idx, path, case when idx % 10 = 1 then 'missing' when idx % 10 = 2 then 'size' when idx % 10 = 3 and size > 0 then 'content' when idx % 10 = 5 then 'repeated' end as problem from t
+      union all select idx + 1000000, path, 'extra' from t where idx % 10 = 4) select idx, path, problem from damaged where problem is not null"""
+)
 def verify_mismatches(spark, sf_dir):
+    """What the check finds in a rebuilt target of which a half is missing, changed, repeated or moved away."""
     s, t = _documents(spark, sf_dir)
-    wrong = delta.verify(delta.apply(delta.generate(s, t), s), t.entries)
-    return wrong.agg(F.count("*").cast("int").alias("mismatches"))
+    made, ten = delta.apply(delta.generate(s, t), s), F.col("idx") % 10
+    changed = F.when(ten == 2, F.concat("content", F.lit(b"x"))).when((ten == 3) & (F.octet_length("content") > 0), F.concat(F.lit(b"\0"), F.expr("substring(content, 2)"))).otherwise(F.col("content"))
+    times = F.when(ten == 1, F.array().cast("array<int>")).when(ten == 4, F.array(F.lit(0), F.lit(1000000))).when(ten == 5, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0)))
+    damaged = made.select("idx", "path", changed.alias("content"), F.explode(times).alias("far")).select((F.col("idx") + F.col("far")).alias("idx"), "path", "content")
+    return delta.verify(damaged, t.entries)
+
+
+# --- paths that are there more than once: every third document has a second version, every ninth also a copy ---------
+
+_AGAIN = """select path, content, 0 as version from ({0}) union all
+  select path, content || ' again', 1 from ({0}) where cast(regexp_extract(path, 'doc-([0-9]+)', 1) as bigint) % 3 = 0 union all
+  select path, content, 2 from ({0}) where cast(regexp_extract(path, 'doc-([0-9]+)', 1) as bigint) % 9 = 0"""
+
+
+def _ordered_manifest(rows: str) -> str:
+    return _manifest(rows).replace("order by path", "order by path, version").replace("select path, content, cast", "select path, version, content, cast")
+
+
+_REPEATED = f"with s as ({_ordered_manifest(_AGAIN.format(_S))}), t as ({_ordered_manifest(_AGAIN.format(_T))})"
+
+
+def _repeated(spark, sf_dir) -> tuple[Snapshot, Snapshot]:
+    def again(rows: DataFrame) -> Snapshot:
+        n = F.regexp_extract("path", "doc-([0-9]+)", 1).cast("bigint")
+        one = rows.select("path", "content", F.lit(0).alias("version"))
+        two = rows.where(n % 3 == 0).select("path", F.concat("content", F.lit(" again")).alias("content"), F.lit(1).alias("version"))
+        three = rows.where(n % 9 == 0).select("path", "content", F.lit(2).alias("version"))
+        return snapshots.of_table(one.unionByName(two).unionByName(three), order="version")
+
+    s, t = snapshots.fixture_pair(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"))
+    return again(s), again(t)
+
+
+@query(f"{_REPEATED} select t.idx as ti, path, l.si from t left join (select path, max(idx) as si from s group by path) l using (path)")
+def match_repeated_paths(spark, sf_dir):
+    """Of source entries with one path the last counts, and every target entry is matched."""
+    s, t = _repeated(spark, sf_dir)
+    return match.exact(t.entries, s.entries).select(F.col("t_idx").alias("ti"), "path", F.col("s_idx").alias("si"))
+
+
+@query(f"{_REPEATED} select idx, path, size, md5(content) as md5 from t")
+def roundtrip_repeated_paths(spark, sf_dir):
+    s, t = _repeated(spark, sf_dir)
+    return delta.apply(delta.generate(s, t), s).select("idx", "path", F.octet_length("content").cast("bigint").alias("size"), F.md5("content").alias("md5"))
 
 
 # --- layouts: the entries are documents of the tables, so that nothing is invented ---------------------------------

@@ -15,14 +15,15 @@ from .scratch import Scratch
 BUCKET = 1 << 16
 
 
-def index_by(df: DataFrame, order: str, index: str = "idx", running: dict[str, str] | None = None) -> DataFrame:
-    """``df`` with a dense ``index`` (bigint, from 0) in the order of the column ``order``.
+def index_by(df: DataFrame, order: str | list[str], index: str = "idx", running: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with a dense ``index`` (bigint, from 0) in the order of the column or columns ``order``.
 
     ``running`` maps new columns to numeric columns: the sum of the rows before, 0 for the first. Ties are
     numbered in an arbitrary order that is then fixed, as the ranges are written once.
     """
     running = running or {}
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order)
+    by = [order] if isinstance(order, str) else order
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
     kept = Scratch(df.sparkSession, "ordered").keep(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")))
     sums = kept.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{name}") for name, c in running.items()])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range

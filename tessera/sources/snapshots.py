@@ -13,32 +13,45 @@ from .pseudo import read_pseudo
 
 @dataclass(frozen=True)
 class Snapshot:
-    """entries: (idx, path, size, off, crc, sha); payload: (path, content), one row a path.
+    """entries: (idx, path, size, off, crc, sha), one row an entry; payload: (path, sha, content).
 
-    Plans that match touch ``entries`` only; contents are joined for the entries that need them.
+    A path may be there more than once. A path and a checksum name a content, so payload rows that agree in both are
+    equal, and ``contents`` joins them as one. Plans that match touch ``entries`` only; contents are joined for the
+    entries that need them.
     """
 
     entries: DataFrame
     payload: DataFrame
 
 
-def of_table(rows: DataFrame, path: str = "path", content: str = "content") -> Snapshot:
+def _payload(rows: DataFrame) -> DataFrame:
+    return rows.select("path", F.sha2("content", 256).alias("sha"), "content")
+
+
+def of_table(rows: DataFrame, path: str = "path", content: str = "content", order: str | None = None) -> Snapshot:
     """A snapshot of a table of paths and contents, in the order of the paths; contents may be text.
 
-    A null content is empty. Rows with a null path are no entries.
+    A null content is empty. Rows with a null path are no entries. Rows of one path are entries of their own, in the
+    order of the column ``order``, or else of their checksums.
     """
     body = F.coalesce(F.col(content).cast("binary"), F.lit(b""))
-    payload = rows.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), body.alias("content"))
-    hashed = payload.select("path", F.octet_length("content").cast("bigint").alias("size"), F.crc32("content").alias("crc"), F.sha2("content", 256).alias("sha"))
-    entries = index_by(hashed, "path", "idx", {"off": "size"})
-    return Snapshot(entries.select("idx", "path", "size", "off", "crc", "sha"), payload)
+    more = [F.col(order).alias("_order")] if order else []
+    kept = rows.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), body.alias("content"), *more)
+    hashed = kept.select("path", F.octet_length("content").cast("bigint").alias("size"), F.crc32("content").alias("crc"), F.sha2("content", 256).alias("sha"), *["_order"] * bool(order))
+    entries = index_by(hashed, ["path", "_order" if order else "sha"], "idx", {"off": "size"})
+    return Snapshot(entries.select("idx", "path", "size", "off", "crc", "sha"), _payload(kept))
 
 
 def of_pseudo(spark: SparkSession, path: str) -> Snapshot:
-    """A snapshot of a pseudo-file, in its own order. The last of entries with one path counts."""
+    """A snapshot of a pseudo-file, in its own order."""
     rows = read_pseudo(spark, path)
-    entries = rows.select("idx", "path", "size", "off", F.crc32("content").alias("crc"), F.sha2("content", 256).alias("sha"))
-    return Snapshot(entries, rows.groupBy("path").agg(F.max_by("content", "idx").alias("content")))
+    return Snapshot(rows.select("idx", "path", "size", "off", F.crc32("content").alias("crc"), F.sha2("content", 256).alias("sha")), _payload(rows))
+
+
+def contents(wanted: DataFrame, payload: DataFrame, key: str, path: str = "path", sha: str = "sha", content: str = "content", how: str = "inner") -> DataFrame:
+    """``wanted``, in which ``key`` is different in every row, with the ``content`` that its path and checksum name."""
+    named = payload.select(F.col("path").alias(path), F.col("sha").alias(sha), F.col("content").alias(content))
+    return wanted.join(named, [path, sha], how).dropDuplicates([path, sha, key])
 
 
 def of_parquet(spark: SparkSession, path: str) -> Snapshot:

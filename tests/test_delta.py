@@ -42,10 +42,32 @@ def test_round_trip(spark, name, mode):
 
 def test_verify_names_each_problem(spark):
     t = snapshots.of_table(spark.createDataFrame([("a", "1"), ("b", "22"), ("c", "333")], "path string, content string"))
-    bad = spark.createDataFrame([("a", bytearray(b"1")), ("b", bytearray(b"2")), ("x", bytearray(b""))], "path string, content binary")
-    wrong = bad.unionByName(spark.createDataFrame([("c", bytearray(b"334"))], "path string, content binary"))
-    assert {tuple(r) for r in delta.verify(bad, t.entries).collect()} == {("b", "size"), ("c", "missing"), ("x", "extra")}
-    assert ("c", "content") in {tuple(r) for r in delta.verify(wrong, t.entries).collect()}
+    schema = "idx bigint, path string, content binary"
+    bad = spark.createDataFrame([(0, "a", bytearray(b"1")), (1, "b", bytearray(b"2")), (3, "x", bytearray(b""))], schema)
+    wrong = bad.unionByName(spark.createDataFrame([(2, "c", bytearray(b"334")), (0, "a", bytearray(b"1")), (2, "a", bytearray(b"1"))], schema))
+    assert {tuple(r) for r in delta.verify(bad, t.entries).collect()} == {(1, "b", "size"), (2, "c", "missing"), (3, "x", "extra")}
+    assert {tuple(r) for r in delta.verify(wrong, t.entries).collect()} == {(0, "a", "repeated"), (1, "b", "size"), (2, "c", "content"), (2, "a", "extra"), (3, "x", "extra")}
+
+
+@pytest.mark.parametrize("mode", ["best", "compat"])
+def test_repeated_paths(spark, mode):
+    """The last source entry of a path counts, and every target entry comes back as itself."""
+    frame = lambda rows: spark.createDataFrame([(p, bytearray(c), v) for p, c, v in rows], "path string, content binary, v int")
+    s = snapshots.of_table(frame([("a", b"old" * 50, 1), ("a", b"new" * 50, 2), ("b", b"same", 1), ("b", b"same", 2)]), order="v")
+    t = snapshots.of_table(frame([("a", b"new" * 50, 1), ("a", b"newer" * 50, 2), ("a", b"newer" * 50, 3), ("b", b"same", 1), ("b", b"same", 1), ("c", b"", 1)]), order="v")
+    table = delta.generate(s, t, mode=mode)
+    assert table.count() == 6 and table.select("ti").distinct().count() == 6
+    got = sorted((r["idx"], r["path"], bytes(r["content"])) for r in delta.apply(table, s).collect())
+    assert got == [(0, "a", b"new" * 50), (1, "a", b"newer" * 50), (2, "a", b"newer" * 50), (3, "b", b"same"), (4, "b", b"same"), (5, "c", b"")]
+    assert delta.verify(delta.apply(table, s), t.entries).count() == 0
+    if mode == "best":
+        assert {r["ti"]: r["si"] for r in table.select("ti", "si").collect()} == {0: 1, 1: 1, 2: 1, 3: 3, 4: 3, 5: None}
+
+
+def test_apply_to_another_source_is_an_error(spark):
+    one, other, t = (snapshots.of_table(spark.createDataFrame([("a", c)], "path string, content string")) for c in ("first text", "other text", "first text and more"))
+    with pytest.raises(PySparkException, match="no source entry a"):
+        delta.apply(delta.generate(one, t), other).collect()
 
 
 def test_a_missing_source_is_an_error(spark):
