@@ -1,8 +1,8 @@
 """SimHash near-dedup with pivot distance tables.
 
-Pivots: the Hamming distances of every fingerprint to many reference fingerprints are its coordinates. By the
-triangle inequality, two fingerprints at distance d differ by at most d in each coordinate, so a pair with a
-larger coordinate difference is discarded unseen; the survivors are verified.
+Pivots: the Hamming distances of every fingerprint to many reference fingerprints are its coordinates, computed once
+a fingerprint and carried along. By the triangle inequality, two fingerprints at distance d differ by at most d in each
+coordinate, so a pair with a larger coordinate difference is discarded unseen; the survivors are verified.
 
 The tables can discard pairs but not list them below the square of the rows, so pairs are looked for in
 buckets only:
@@ -20,6 +20,7 @@ sequence before any of this, so a text that a third of all rows hold costs one r
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -35,16 +36,17 @@ from .components import components
 SEED = 42
 BLOCKS = 6
 CHUNK = 1 << 16
-#: The reference fingerprints.
-PIVOTS = np.random.default_rng(20).integers(0, 2**64, 32, dtype=np.uint64)
+#: The reference fingerprints; eight distances are one bigint of the table.
+PIVOTS = np.random.default_rng(20).integers(0, 2**64, 16, dtype=np.uint64)
+#: From so many fingerprints on, a bucket is searched by the bits in which its members can differ.
+DENSE = 4096
 
 BANDS, ROWS = 16, 4
 #: Largest Hamming distance of 64 bits at which a leader takes a member. At a similarity of 0.8 a bit differs
-#: with probability 0.15: 9.7 bits, standard deviation 2.9.
+#: with probability 0.15: 9.7 bits, standard deviation 2.9. What it leaves is held against the whole bucket later.
 NEAR_BITS = 22
-#: The same for the exact pass. A bit of two different sets at 0.8 differs with probability 0.1875 at most (5
-#: shingles and 4 of them), and of 64 such bits more than 28 differ once in 900,000; more than 22, once in 1,100.
-STRAY_BITS = 28
+#: So many leaders of a bucket take members.
+LEADERS = 1024
 #: The links that these many bands propose are verified first; those of the others only where they would join
 #: two classes.
 FIRST = 4
@@ -105,29 +107,48 @@ def fingerprint(text: Column, words: int = 3) -> Column:
     return _fingerprint(words)(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def coordinates(fp: Column) -> list[Column]:
+    """The pivot table's entry of a fingerprint column: bigints of eight distances each."""
+
+    def packed(some: np.ndarray) -> Column:
+        far = [F.bit_count(fp.bitwiseXOR(F.lit(int(p)))).cast("bigint") for p in some.view(np.int64)]
+        return reduce(Column.bitwiseOR, [F.shiftleft(d, 8 * i) for i, d in enumerate(far)])
+
+    return [packed(PIVOTS[i : i + 8]) for i in range(0, len(PIVOTS), 8)]
+
+
+COORDINATES = [f"c{i}" for i in range(len(PIVOTS) // 8)]
+
+
+def unpacked(columns: list[np.ndarray]) -> np.ndarray:
+    """The distances in arrays of ``coordinates``: one row a pivot."""
+    return np.ascontiguousarray(np.stack(columns, axis=1)).view(np.uint8).reshape(len(columns[0]), -1).T.astype(np.int16)
+
+
 def distances(fps: np.ndarray, pivots: np.ndarray = PIVOTS) -> np.ndarray:
-    """The pivot table: one row a pivot."""
-    return np.bitwise_count(fps[None, :] ^ pivots[:, None])
+    """The pivot table of fingerprints: one row a pivot."""
+    return np.bitwise_count(fps[None, :] ^ pivots[:, None]).astype(np.int16)
 
 
 def near(fps: np.ndarray, one: np.uint64, table: np.ndarray, of_one: np.ndarray, bits: int) -> np.ndarray:
     """Which of ``fps`` lie within ``bits`` of ``one``: the first pivots discard, then all, then the distance decides."""
     left = np.arange(len(fps))
     for some in (slice(0, 4), slice(4, None)):
-        apart = np.abs(table[some][:, left].astype(np.int16) - of_one[some, None].astype(np.int16)).max(axis=0, initial=0)
+        apart = np.abs(table[some][:, left] - of_one[some, None]).max(axis=0, initial=0)
         left = left[apart <= bits]
     return left[np.bitwise_count(fps[left] ^ one) <= bits]
 
 
-def forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of indices, of the links among different fingerprints.
+def forest(fps: np.ndarray, table: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of indices, of the links among different fingerprints with this pivot table.
 
     Breadth first, and what is reached leaves the table: a bucket whose members are all close costs one row
     of comparisons, not the square.
     """
     if len(fps) == 2:
-        return [(0, 1)] if np.bitwise_count(fps[0] ^ fps[1]) <= bits else []
-    table, out = distances(fps), []
+        close = np.abs(table[:, 0] - table[:, 1]).max() <= bits and np.bitwise_count(fps[0] ^ fps[1]) <= bits
+        return [(0, 1)] if close else []
+    out: list[tuple[int, int]] = []
     rest = np.arange(len(fps))
     while len(rest):
         queue, rest = [int(rest[0])], rest[1:]
@@ -142,6 +163,30 @@ def forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
+def dense_forest(fps: np.ndarray, free: list[int], bits: int) -> list[tuple[int, int]]:
+    """The same for a large bucket, whose members differ in the ``free`` bits only: every fingerprint looks up those
+    that differ from it in one to ``bits`` of them, so the time is the members times a constant, never the square."""
+    order = np.argsort(fps)
+    known = fps[order]
+    root = np.arange(len(fps))
+    flips = [sum(1 << b for b in some) for k in range(1, bits + 1) for some in combinations(free, k)]
+    while True:
+        before = root.copy()
+        for flip in flips:
+            other = known ^ np.uint64(flip)
+            at = np.searchsorted(known, other)
+            at[at == len(known)] = 0
+            met = np.flatnonzero(known[at] == other)
+            a, b = root[met], root[at[met]]
+            lo, hi = np.minimum(a, b), np.maximum(a, b)
+            np.minimum.at(root, hi, lo)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        if np.array_equal(root, before):
+            break
+    return [(int(order[r]), int(order[i])) for i, r in enumerate(root.tolist()) if r != i]
+
+
 def _masks(bits: int, blocks: int = BLOCKS) -> list[int]:
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     parts = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
@@ -177,16 +222,23 @@ def _bucketed(batches: Iterator[pa.RecordBatch], key: list[str], rest: list[str]
 
 
 def links(fps: DataFrame, bits: int = 2, blocks: int = BLOCKS) -> DataFrame:
-    """(a, b) of a spanning forest of the pairs of different ``fp`` (bigint) that differ in at most ``bits`` bits."""
-    masks = [_signed(m) for m in _masks(bits, blocks)]
+    """(a, b) that join the same classes as the pairs of different ``fp`` (bigint) that differ in at most ``bits`` bits:
+    a spanning forest of the pairs, or in a bucket of DENSE fingerprints and more, of each class's members and its first."""
+    unsigned = _masks(bits, blocks)
+    masks = [_signed(m) for m in unsigned]
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
-    rows = fps.select("fp").distinct().select("fp", F.inline(keys)).repartition("t", "k").sortWithinPartitions("t", "k", "fp")
+    once = fps.select("fp").distinct().select("fp", *[c.alias(n) for n, c in zip(COORDINATES, coordinates(F.col("fp")), strict=True)])
+    rows = once.select("fp", *COORDINATES, F.inline(keys)).repartition("t", "k").sortWithinPartitions("t", "k", "fp")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
         b: list[int] = []
-        for (fp,) in _bucketed(batches, ["t", "k"], ["fp"]):
-            found = forest(fp.view(np.uint64), bits)
+        for t, fp, *cs in _bucketed(batches, ["t", "k"], ["t", "fp", *COORDINATES]):
+            some = fp.view(np.uint64)
+            if len(fp) < DENSE:
+                found = forest(some, unpacked(cs), bits)
+            else:
+                found = dense_forest(some, [i for i in range(64) if not unsigned[int(t[0])] >> i & 1], bits)
             a += [int(fp[i]) for i, _ in found]
             b += [int(fp[j]) for _, j in found]
             if len(a) >= CHUNK:
@@ -202,7 +254,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
 
     Fingerprints link at ``bits`` or fewer differing bits; component_id is the least doc_id reachable, the
     own one included. Null and wordless texts have fingerprint zero and link like any other; a null id takes
-    part and is never the least, so a component of null ids only has none. Repeated rows come back each.
+    part and is never the least, so a component of null ids only has none. Repeated rows come back each, very long
+    texts are read whole, an empty table gives an empty result, and other columns don't matter, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.keep(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprint(F.col(f"`{text}`"), words).alias("fp")))
@@ -248,40 +301,32 @@ def _sketches(words: int):
 
 
 def _shingle_set(raw: bytes, words: int) -> np.ndarray:
-    """The 32-bit hashes of a text's different shingles, in order."""
-    parts = [h >> np.uint64(32) for h in _shingle_hashes(raw, words)]
-    return np.unique(np.concatenate(parts).astype(np.uint32)) if parts else np.zeros(0, np.uint32)
-
-
-def _shingle_sets(words: int):
-    @F.pandas_udf("binary")
-    def sets(text: pd.Series) -> pd.Series:
-        return text.map(lambda raw: _shingle_set(raw, words).tobytes())
-
-    return sets
+    """The hashes of a text's different shingles, in order."""
+    parts = list(_shingle_hashes(raw, words))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
 def _parity(shingles: np.ndarray) -> np.ndarray:
     """PARITIES bits: whether an odd number of the shingles falls to each. Sets that differ in d shingles differ
     in d bits at most."""
-    odd = np.bincount(shingles % PARITIES, minlength=PARITIES) & 1
+    odd = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _parities(words: int):
-    @F.pandas_udf("n int, parity array<bigint>")
-    def parities(text: pd.Series) -> pd.DataFrame:
+def _shingle_sets(words: int):
+    @F.pandas_udf("n int, parity array<bigint>, s binary")
+    def sets(text: pd.Series) -> pd.DataFrame:
         found = [_shingle_set(raw, words) for raw in text]
-        return pd.DataFrame({"n": pd.Series(map(len, found), dtype="int32"), "parity": pd.Series(map(_parity, found), dtype=object)})
+        return pd.DataFrame({"n": pd.Series(map(len, found), dtype="int32"), "parity": pd.Series(map(_parity, found), dtype=object), "s": pd.Series([x.tobytes() for x in found], dtype=object)})
 
-    return parities
+    return sets
 
 
 def _jaccard_at_least(similarity: float):
     @F.pandas_udf("boolean")
     def enough(a: pd.Series, b: pd.Series) -> pd.Series:
         def test(x: bytes, y: bytes) -> bool:
-            p, q = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+            p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
             if min(len(p), len(q)) < similarity * max(len(p), len(q)):
                 return False
             common = len(np.intersect1d(p, q, assume_unique=True))
@@ -297,15 +342,20 @@ _FOUND = "band int, k bigint, rank bigint, fp bigint, rep bigint, leader bigint"
 
 def _leaders(band, k, rank, fp, rep) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (band, k, rank): a row of a bucket joins the bucket's first leader within NEAR_BITS, or
-    leads. The links come back as (band, rep, leader), the leaders with their bucket and a null leader."""
+    leads, as long as there are no more than LEADERS; what is left is linked by ``_strays`` if at all. The links come back
+    as (band, rep, leader), the leaders with their bucket and a null leader."""
     new = (band[1:] != band[:-1]) | (k[1:] != k[:-1])
     edges = np.concatenate(([0], np.flatnonzero(new) + 1, [len(k)]))
     leads, member, leader, by = np.ones(len(k), dtype=bool), [], [], []
     for i in np.flatnonzero(np.diff(edges) > 1):
         rest = np.arange(edges[i], edges[i + 1])
         fps = fp.view(np.uint64)
-        table, base = distances(fps[rest]), rest[0]
+        table, base, n = distances(fps[rest]), rest[0], 0
         while len(rest) > 1:
+            n += 1
+            if n > LEADERS:
+                leads[rest] = False
+                break
             lead, rest = rest[0], rest[1:]
             hit = near(fps[rest], fps[lead], table[:, rest - base], table[:, lead - base], NEAR_BITS)
             leads[rest[hit]] = False
@@ -351,31 +401,46 @@ def _across_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, body, sketch, cls), one row a row of ``docs``: id and body are its row_keys, sketch names its word
-    sequence, cls the class of near duplicates (the least sketch reachable).
-
-    Texts link if the Jaccard similarity of their sets of ``words``-word shingles is at least ``similarity``;
-    texts of the same words are one sketch. Similar pairs share one of 16 minwise bands with probability
-    0.9998 at 0.8, and lie within STRAY_BITS but once in 900,000 at most. A proposed link counts if the exact similarity
-    (of 32-bit shingle hashes) reaches the bound. First, each bucket proposes links from members to leaders only,
-    with leaders chosen anew in every band: one a member and band, however large a class is. Then ``_strays``
-    proposes whatever may still join two classes, so the classes are those of all pairs that share a bucket
-    within STRAY_BITS, and how rows are batched and which rows lead changes nothing.
+    """(id, body, cls), one row a row of ``docs``: id and body are its row_keys, cls names its class of near duplicates.
+
+    Texts link if the Jaccard similarity of their sets of ``words``-word shingles (as 64-bit hashes) is at least
+    ``similarity``; texts of the same words (by a 128-bit hash) are one. Similar pairs share one of 16 minwise bands with
+    probability 0.9998 at 0.8 and more above it. A proposed link counts if the exact similarity reaches the bound. First,
+    each bucket proposes links from members to leaders only, with leaders chosen anew in every band: one a member and band,
+    however large a class is. Then ``_strays`` proposes whatever may still join two classes, so the classes are those of
+    all pairs that share a bucket, and how rows are batched and which rows lead changes nothing.
+
+    Null and empty texts have no words and are copies of each other; an empty table gives an empty result.
     """
+    marked, named = _named(docs, text, doc_id, words, similarity)
+    return marked.select("id", "body", "words").join(named.select("words", "cls"), "words").select("id", "body", "cls")
+
+
+def _named(docs: DataFrame, text: str, doc_id: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(id, body, words) of every row, and (words, r, cls) of every word sequence, r the least (id, body) that has it."""
     scratch = Scratch(docs.sparkSession, "near")
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     ident, key = row_keys(docs, text, doc_id)
     marked = docs.select(ident.alias("id"), key.alias("body"), _sketches(words)(body).alias("s"))
-    marked = scratch.keep(marked.select("id", "body", F.xxhash64("s.words").alias("sketch"), "s.fp", "s.bands"))
-    # copies meet here only, and each task sends one row a sketch
-    each = scratch.keep(marked.groupBy("sketch").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("id", "body")).alias("r")))
-    within = scratch.keep(each.select("sketch", "fp", "bands").mapInArrow(_within_batches, _FOUND))
+    marked = scratch.keep(marked.select("id", "body", "s.*"))
+    # copies meet here only, and each task sends one row a word sequence; its number in the written table is its name
+    each = marked.groupBy("words").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("id", "body")).alias("r"))
+    each = scratch.keep(each.withColumn("sketch", F.monotonically_increasing_id()))
+    # the buckets of two or more, and what is needed of their members, once
+    rows = each.select("sketch", F.explode("bands").alias("k"))
+    members = scratch.keep(rows.join(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k"))
+    wanted = each.select("sketch", "r.*").join(members.select("sketch").distinct(), "sketch")
+    texts = docs.select(ident.alias("id"), key.alias("body"), body.alias("raw")).join(wanted, ["id", "body"]).dropDuplicates(["sketch"])
+    sets = scratch.keep(texts.select("sketch", _shingle_sets(words)("raw").alias("m")).select("sketch", "m.*"))
+
+    within = scratch.keep(each.join(members.select("sketch").distinct(), "sketch", "left_semi").select("sketch", "fp", "bands").mapInArrow(_within_batches, _FOUND))
     heads = within.where("leader is null").select("band", "k", "rank", "fp", "rep").repartition("band", "k").sortWithinPartitions("band", "k", "rank")
     proposed = within.where("leader is not null").select("band", "rep", "leader").unionByName(heads.mapInArrow(_across_batches, _FOUND).select("band", "rep", "leader"))
-    pairs = scratch.keep(proposed.groupBy(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).agg(F.min("band").alias("band")))
+    pairs = scratch.keep(proposed.where("leader is not null").groupBy(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).agg(F.min("band").alias("band")))
 
     def verified(some: DataFrame) -> DataFrame:
-        return _similar(docs, text, doc_id, words, similarity, each, some.select("a", "b"), scratch)
+        one, two = (sets.select(F.col("sketch").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+        return some.select("a", "b").join(one, "a").join(two, "b").where(_jaccard_at_least(similarity)("sa", "sb")).select("a", "b")
 
     found = scratch.keep(verified(pairs.where(F.col("band") < FIRST)))
     cls = scratch.keep(components(found, scratch))
@@ -384,63 +449,48 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     apart = scratch.keep(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
     edges = scratch.keep(cls.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(apart)))
     cls = scratch.keep(components(edges, scratch))
-    rooted = each.select("sketch", "fp", "bands").join(cls.withColumnRenamed("node", "sketch"), "sketch", "left")
-    marks = lambda named: _texts(docs, text, doc_id, each, named).select("sketch", _parities(words)("raw").alias("m")).select("sketch", "m.*")
-    left = scratch.keep(_strays(rooted, pairs, marks, similarity, scratch))
+    rooted = members.join(cls.withColumnRenamed("node", "sketch"), "sketch", "left").select("k", "sketch", F.coalesce("root", "sketch").alias("cls"))
+    left = scratch.keep(_strays(rooted, pairs, lambda some: sets.select("sketch", "n", "parity").join(some, "sketch"), similarity, scratch))
     edges = cls.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(left))
     roots = components(edges, scratch).withColumnRenamed("node", "sketch")
-    return marked.select("id", "body", "sketch").join(roots, "sketch", "left").select("id", "body", "sketch", F.coalesce("root", "sketch").alias("cls"))
+    return marked.select("id", "body", "words"), each.join(roots, "sketch", "left").select("words", "r", F.coalesce("root", "sketch").alias("cls"))
 
 
 def _strays(members: DataFrame, tried: DataFrame, marks: Callable[[DataFrame], DataFrame], similarity: float, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of sketches that share a bucket within STRAY_BITS, are of two classes, were not tried, and
-    may be similar by their parities.
+    """The pairs (a, b) of sketches that share a bucket, are of two classes, were not tried, and may be similar by the
+    sizes and parities of their sets.
 
-    ``members``: sketch, fp, bands, root (null: a class of its own); ``marks`` gives sketch, n and parity of some
+    ``members``: (k, sketch, cls) of the buckets of two and more; ``marks`` gives sketch, n and parity of some
     sketches. Two classes of a bucket meet only where a stray takes part, a member outside the bucket's largest
     class; so the strays of a bucket, not its members, are held against the whole bucket, and one pass is enough.
     Large buckets are dealt over salts. Sets of n and m shingles that are similar enough differ in at most
     (n + m) (1 - similarity) / (1 + similarity) shingles, each of which flips one bit of the parities, so more
-    differing bits discard a pair for certain.
+    differing bits discard a pair for certain; nothing else does.
     """
-    rows = members.select("sketch", "fp", F.coalesce("root", "sketch").alias("cls"), F.explode("bands").alias("k"))
-    mixed = rows.groupBy("k").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    held = scratch.keep(rows.join(mixed.select("k", F.ceil(F.col("n") / SALTED).alias("salts")), "k"))
+    mixed = members.groupBy("k").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    held = scratch.keep(members.join(mixed.select("k", F.ceil(F.col("n") / SALTED).alias("salts")), "k"))
     sizes = held.groupBy("k", "cls").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("k").agg(F.max(F.struct("n", "cls")).getField("cls").alias("largest"))
     held = scratch.keep(held.join(largest, "k").join(marks(held.select("sketch").distinct()), "sketch"))
-    mine = ["sketch", "fp", "cls", "n", "parity"]
+    mine = ["sketch", "cls", "n", "parity"]
     strays = held.where("cls <> largest").select("k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"s_{c}") for c in mine])
     salted = held.select("k", F.pmod(F.xxhash64("sketch"), "salts").alias("salt"), *mine)
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("s_fp"))) <= STRAY_BITS
-    apart = sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("s_parity")[i])) for i in range(PARITIES // 64))
-    close &= apart * F.lit(1 + similarity) <= (F.col("n") + F.col("s_n")) * F.lit(1 - similarity) + F.lit(1e-6)
-    met = salted.join(strays, (salted["k"] == strays["k"]) & (salted["salt"] == strays["salt"]) & (F.col("cls") != F.col("s_cls")) & close)
+    most = (F.col("n") + F.col("s_n")) * F.lit(1 - similarity) + F.lit(1e-6)
+    fit = F.least("n", "s_n") >= F.greatest("n", "s_n") * F.lit(similarity) - F.lit(1e-6)
+    for n in (2, PARITIES // 64):  # the first two words discard most pairs
+        apart = sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("s_parity")[i])) for i in range(n))
+        fit &= apart * F.lit(1 + similarity) <= most
+    met = salted.join(strays, (salted["k"] == strays["k"]) & (salted["salt"] == strays["salt"]) & (F.col("cls") != F.col("s_cls")) & fit)
     return met.select(F.greatest("sketch", "s_sketch").alias("a"), F.least("sketch", "s_sketch").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _similar(docs: DataFrame, text: str, doc_id: str, words: int, similarity: float, each: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of sketches whose texts' shingle sets are similar enough."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("sketch")).distinct()
-    sets = scratch.keep(_texts(docs, text, doc_id, each, named).select("sketch", _shingle_sets(words)("raw").alias("s")))
-    one, two = (sets.select(F.col("sketch").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").where(_jaccard_at_least(similarity)("sa", "sb")).select("a", "b")
-
-
-def _texts(docs: DataFrame, text: str, doc_id: str, each: DataFrame, named: DataFrame) -> DataFrame:
-    """(sketch, raw): one text of each sketch in ``named``."""
-    ident, key = row_keys(docs, text, doc_id)
-    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    wanted = each.select("sketch", "r.*").join(named, "sketch")
-    return docs.select(ident.alias("id"), key.alias("body"), body.alias("raw")).join(wanted, ["id", "body"]).dropDuplicates(["sketch"]).select("sketch", "raw")
-
-
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: of each class of near duplicates the one with the least doc_id. A null
-    id comes last; of rows that share the id, the least XXH64 of the text stays, and one of equal rows. Texts
-    without words are copies of each other. Columns stay as they are."""
-    found = near_duplicates(docs, text, doc_id, words, similarity)
-    first = found.groupBy("cls").agg(F.min(F.struct("id", "body")).alias("r")).select(F.col("r.id").alias("_tessera_id"), F.col("r.body").alias("_tessera_body"))
+    id comes last; of rows that share the id, the least MD5 of the text stays, and one of equal rows. Texts
+    without words, null ones too, are copies of each other. Very long texts are compared whole; an empty table gives an
+    empty result; columns stay as they are, whatever their names."""
+    _, named = _named(docs, text, doc_id, words, similarity)
+    first = named.groupBy("cls").agg(F.min("r").alias("r")).select(F.col("r.id").alias("_tessera_id"), F.col("r.body").alias("_tessera_body"))
     ident, key = row_keys(docs, text, doc_id)
     keys = ["_tessera_id", "_tessera_body"]
     left = docs.withColumns({"_tessera_id": ident, "_tessera_body": key}).join(first, keys, "left_semi")

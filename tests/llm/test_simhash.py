@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import simhash
 from tessera.llm.common import Scratch
@@ -95,7 +96,7 @@ def test_classes_equal_brute_force(spark):
     for i, r in zip(ids, found, strict=True):
         least[r] = min(least.get(r, 1 << 62), 1 << 62 if i is None else i)
     want = sorted((i, f, least[r]) for i, f, r in zip(ids, fps, found, strict=True) if i is not None)
-    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in zip(ids, texts, strict=True)], "doc_id bigint, text string, fp string, component_id int")
     got = simhash.classes(df).collect()
     assert sorted((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in got if r["doc_id"] is not None) == want
     assert len(got) == len(texts)
@@ -185,34 +186,87 @@ def test_passages_repeated_inside_a_text_equal_brute_force(spark):
 def test_short_similar_texts_whose_fingerprints_are_far_apart(spark):
     rng = random.Random(10)
     rows = []
-    while len(rows) < 6:  # 5 shingles and 4 of them: a similarity of 0.8
+    while len(rows) < 12:  # 5 shingles and 4 of them: a similarity of 0.8
         text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(9))
         less = text.rsplit(" ", 1)[0]
-        if simhash.NEAR_BITS < (fingerprint(text, 5) ^ fingerprint(less, 5)).bit_count() <= simhash.STRAY_BITS:
-            rows += [(len(rows), text), (len(rows) + 1, less)]
+        if (fingerprint(text, 5) ^ fingerprint(less, 5)).bit_count() > (28 if len(rows) < 2 else simhash.NEAR_BITS):
+            if set(np.frombuffer(simhash._sketch(text.encode(), 5)[2], dtype=np.int64).tolist()) & set(np.frombuffer(simhash._sketch(less.encode(), 5)[2], dtype=np.int64).tolist()):
+                rows += [(len(rows), text), (len(rows) + 1, less)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [0, 2, 4]
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(0, 12, 2))
+
+
+def test_more_leaders_than_take_members_change_nothing(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+
+    def changed(words, n):
+        words = list(words)
+        for at in rng.sample(range(120), n):
+            words[at] = f"w{rng.randrange(10**6)}"
+        return words
+
+    texts = []
+    for _ in range(60):
+        twin = changed(base, 6)
+        texts += [" ".join(twin), " ".join(changed(twin, 1))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    found = roots(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    want = [i for i, r in enumerate(found) if i == r]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(simhash, "LEADERS", 1)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).select("doc_id").collect()) == want
 
 
 def test_parities_differ_in_no_more_bits_than_sets(spark):
     rng = np.random.default_rng(8)
     for n in (0, 1, 30, 3000):
-        x = np.unique(rng.integers(0, 2**32, n, dtype=np.uint32))
-        y = np.union1d(x[: n // 2], rng.integers(0, 2**32, n // 3, dtype=np.uint32))
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        y = np.union1d(x[: n // 2], rng.integers(0, 2**64, n // 3, dtype=np.uint64))
         bits = int(np.bitwise_count((simhash._parity(x) ^ simhash._parity(y)).view(np.uint64)).sum())
         assert bits <= len(np.setxor1d(x, y)) and bits % 2 == len(np.setxor1d(x, y)) % 2
 
 
 def test_strays_meet_their_whole_bucket_once(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SALTED", 2)
-    far = -1  # 64 bits away from fingerprint 0
-    members = [(s, 0, [7, 100 + s], 1) for s in range(1, 8)] + [(20, 1, [7, 120], None), (21, far, [7, 121], None), (22, 3, [8, 122], None)]
-    df = spark.createDataFrame(members, "sketch bigint, fp bigint, bands array<bigint>, root bigint")
+    members = [(7, s, 1) for s in range(1, 8)] + [(100 + s, s, 1) for s in range(1, 8)] + [(7, 20, 20), (120, 20, 20), (7, 21, 21), (8, 22, 22)]
+    df = spark.createDataFrame(members, "k bigint, sketch bigint, cls bigint")
     tried = spark.createDataFrame([(20, 3)], "a bigint, b bigint")
-    odd = lambda s: [(1 << 23) - 1 if s == 5 else 0] + [0] * 15  # 23 bits
-    marks = lambda named: spark.createDataFrame([(s, 100, odd(s)) for (s, *_) in members], "sketch bigint, n int, parity array<bigint>").join(named, "sketch")
+    odd = lambda s: [(1 << 23) - 1 if s == 5 else 0] + [0] * 14 + [(1 << 30) - 1 if s == 4 else 0]  # 23 and 30 bits
+    size = lambda s: 79 if s == 21 else 100
+    marks = lambda named: spark.createDataFrame([(s, size(s), odd(s)) for (s,) in {(m[1],) for m in members}], "sketch bigint, n int, parity array<bigint>").join(named, "sketch")
     got = sorted(tuple(r) for r in simhash._strays(df, tried, marks, 0.8, Scratch(spark, "t")).collect())
-    assert got == [(20, b) for b in (1, 2, 4, 6, 7)]
+    assert got == [(20, b) for b in (1, 2, 6, 7)]
+
+
+def test_dense_buckets_join_the_same_classes(spark, monkeypatch):
+    rng = random.Random(5)
+    free = [*range(0, 11), *range(21, 32)]
+    fps = {0}
+    while len(fps) < 300:
+        x = rng.choice(sorted(fps))
+        for _ in range(rng.choice((1, 2, 3, 4))):
+            x ^= 1 << rng.choice(free)
+        fps.add(x)
+    fps = sorted(fps)
+    some = np.array(fps, dtype=np.uint64)
+    joined = {frozenset(x) for x in simhash.dense_forest(some, free, 2)} | {frozenset((i, i)) for i in range(300)}
+    want = roots(300, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
+    assert roots(300, lambda i, j: frozenset((i, j)) in joined) == want
+    plain = {frozenset(x) for x in simhash.forest(some, simhash.distances(some), 2)}
+    assert roots(300, lambda i, j: frozenset((i, j)) in plain) == want
+    monkeypatch.setattr(simhash, "DENSE", 3)
+    df = spark.createDataFrame([(x,) for x in fps], "fp bigint")
+    got = {r["node"]: r["root"] for r in components(simhash.links(df), Scratch(spark, "t")).collect()}
+    assert [got.get(x, x) for x in fps] == [fps[r] for r in want]
+
+
+def test_coordinates_are_the_distances_to_the_pivots(spark):
+    fps = np.random.default_rng(2).integers(0, 2**64, 50, dtype=np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint").coalesce(1)
+    rows = df.select(*simhash.coordinates(F.col("fp"))).collect()
+    columns = [np.array([r[i] for r in rows], dtype=np.int64) for i in range(len(simhash.COORDINATES))]
+    assert np.array_equal(simhash.unpacked(columns), simhash.distances(fps))
 
 
 def test_keep_one_of_equal_rows_and_null_ids(spark):
