@@ -34,5 +34,10 @@ def ascii_lower(text: Column) -> Column:
 
 
 def row_keys(docs: DataFrame, text: str, doc_id: str) -> tuple[Column, Column]:
-    """What names a row: its id (NO_ID for null), and the MD5 of its text, as ids may repeat."""
-    return F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID)), F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
+    """What names a row: its id (NO_ID for null), and XXH64 of its text, as ids may repeat."""
+    return F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
+def row_names(docs: DataFrame, text: str, doc_id: str) -> tuple[Column, Column]:
+    """The same with 128 bits (MD5) of the text, for where rows of one id, as of none, may be very many."""
+    return row_keys(docs, text, doc_id)[0], F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_keys
+from .common import Scratch, row_names
 
 #: Every piece has at least so many bytes, and the index holds so many of each; from 8 to 16.
 PIECE = 12
@@ -304,6 +304,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     if len(blocks) == 1:
         return docs.where(F.size(_searcher(blocks[0])(F.col(f"`{text}`"))) == 0)
     names = ["_tessera_id", "_tessera_body"]
-    keys = [key.alias(name) for key, name in zip(row_keys(docs, text, doc_id), names, strict=True)]
+    keys = [key.alias(name) for key, name in zip(row_names(docs, text, doc_id), names, strict=True)]
     found = leaks(docs, benchmark, keys, text, item_id, item_text).select(*names).distinct()
-    return docs.withColumns(dict(zip(names, row_keys(docs, text, doc_id), strict=True))).join(found, names, "left_anti").drop(*names)
+    return docs.withColumns(dict(zip(names, row_names(docs, text, doc_id), strict=True))).join(found, names, "left_anti").drop(*names)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_keys
+from .common import Scratch, row_names
 from .components import components
 
 SEED = 42
@@ -401,7 +401,7 @@ def _across_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, body, cls), one row a row of ``docs``: id and body are its row_keys, cls names its class of near duplicates.
+    """(id, body, cls), one row a row of ``docs``: id and body are its row_names, cls names its class of near duplicates.
 
     Texts link if the Jaccard similarity of their sets of ``words``-word shingles (as 64-bit hashes) is at least
     ``similarity``; texts of the same words (by a 128-bit hash) are one. Similar pairs share one of 16 minwise bands with
@@ -420,7 +420,7 @@ def _named(docs: DataFrame, text: str, doc_id: str, words: int, similarity: floa
     """(id, body, words) of every row, and (words, r, cls) of every word sequence, r the least (id, body) that has it."""
     scratch = Scratch(docs.sparkSession, "near")
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    ident, key = row_keys(docs, text, doc_id)
+    ident, key = row_names(docs, text, doc_id)
     marked = docs.select(ident.alias("id"), key.alias("body"), _sketches(words)(body).alias("s"))
     marked = scratch.keep(marked.select("id", "body", "s.*"))
     # copies meet here only, and each task sends one row a word sequence; its number in the written table is its name
@@ -491,7 +491,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     empty result; columns stay as they are, whatever their names."""
     _, named = _named(docs, text, doc_id, words, similarity)
     first = named.groupBy("cls").agg(F.min("r").alias("r")).select(F.col("r.id").alias("_tessera_id"), F.col("r.body").alias("_tessera_body"))
-    ident, key = row_keys(docs, text, doc_id)
+    ident, key = row_names(docs, text, doc_id)
     keys = ["_tessera_id", "_tessera_body"]
     left = docs.withColumns({"_tessera_id": ident, "_tessera_body": key}).join(first, keys, "left_semi")
     numbered = left.withColumn("_tessera_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_tessera_body")))
