@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from .operators.codec import CODECS, DEFAULT
-from .plans import api
+from .plans import api, files
 from .session import local_session
 
 
@@ -16,7 +17,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-s", "--source", required=True)
     p.add_argument("-t", "--target", required=True)
     p.add_argument("-d", "--delta", required=True)
-    p.add_argument("--codec", choices=sorted(CODECS), help=f"how changed entries are stored; {DEFAULT} if none is named")
+    p.add_argument("--codec", help=f"how changed entries are stored, {', '.join(sorted(CODECS))}, with :LEVEL where there are levels; {DEFAULT} if none is named")
+    p.add_argument("--file", action="store_true", help="one delta file, for images or pseudo-files; apply takes files by themselves")
+    p.add_argument("--plain-unsupported", action="store_true", help="a plain delta for an image with compressor options")
     for tool in ("xdelta3", "hdiffz", "bsdiff"):
         p.add_argument(f"--{tool}", action="store_true", help=f"the same as --codec {tool}")
     p.add_argument("--whole", action="store_true", help="one patch for the whole collection")
@@ -34,7 +37,11 @@ def main(args: list[str] | None = None) -> int:
         p.error("apply takes its codec from the delta")
     spark = local_session("*")
     try:
-        if a.operation == "generate":
+        if a.operation == "generate" and a.file:
+            files.generate_file(spark, a.source, a.target, a.delta, named[0] if named else DEFAULT, "plain" if a.plain_unsupported else "error")
+        elif a.operation == "apply" and Path(a.delta).is_file():
+            files.apply_file(spark, a.source, a.delta, a.target)
+        elif a.operation == "generate":
             api.generate(spark, a.source, a.target, a.delta, named[0] if named else DEFAULT, a.mode, "whole" if a.whole else "entry").show()
         else:
             api.apply(spark, a.source, a.delta, a.target)

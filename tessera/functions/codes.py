@@ -25,7 +25,9 @@ FLAG_COMPRESSOR_OPTIONS = 0x0400
 # End of the fixed values.
 
 #: Ids of this engine's own codecs, out of the way of the tools.
-OWN_TOOLS = {0x101: "zstd", 0x102: "block", 0x103: "store"}
+OWN_TOOLS = {0x101: "zstd", 0x102: "block", 0x103: "store", 0x111: "zstd-stream", 0x113: "store-stream"}
+#: What follows the header of a delta file, by tool: a record for each entry, or one patch of the whole pseudo-files.
+FORMS = {0x1: "stream", 0x2: "entries", 0x12: "stream", 0x13: "stream", 0x101: "entries", 0x103: "entries", 0x111: "stream", 0x113: "stream"}
 
 
 def _lookup(value: Column, table: dict[int, str]) -> Column:
@@ -75,5 +77,9 @@ def rebuild_options(flags: Column) -> Column:
 
 
 def rebuild_arguments(header: Column) -> Column:
-    """A delta header as the arguments of an image build: compression, flags and time."""
-    return F.concat(F.array(F.lit("-comp"), compression_name(header["comp"])), rebuild_options(header["flags"]), F.array(F.lit("-mkfs-time"), header["ts"].cast("string")))
+    """A delta header as the arguments of an image build: compression, flags and time. An unknown compression and flags of
+    images that can't be rebuilt are errors."""
+    refused = lambda why: F.raise_error(why).cast("string")
+    known = F.coalesce(compression_name(header["comp"]), refused(F.concat(F.lit("unknown compression "), F.coalesce(header["comp"].cast("string"), F.lit("null")))))
+    name = F.when(unsupported(header["flags"]).isNotNull(), refused(unsupported(header["flags"]))).otherwise(known)
+    return F.concat(F.array(F.lit("-comp"), name), rebuild_options(header["flags"]), F.array(F.lit("-mkfs-time"), header["ts"].cast("string")))

@@ -54,9 +54,13 @@ def generate(source: DataFrame, target: DataFrame, codec_name: str = DEFAULT, on
 def apply(deltas: DataFrame, source: DataFrame, codec_name: str = DEFAULT) -> DataFrame:
     """(name, content, arguments) of the target images; arguments rebuild the image, null for a plain delta.
 
-    A header that isn't valid, or that names another tool than the codec's, is an error.
+    What a delta is, its column ``kind`` says, or its magic where there is no such column. A header that isn't valid, or
+    that names another tool than the codec's, is an error, as is an unknown magic.
     """
     chosen = codec(codec_name)
+    if "kind" not in deltas.columns:
+        known = headers.delta_kind(F.col("delta"))
+        deltas = deltas.withColumn("kind", _refuse(F.col("name"), F.when(F.coalesce(known, F.lit("unknown")) == "unknown", "wrong magic"), known, "string"))
     delta, contained = F.col("delta"), F.col("kind") == "container"
     h = headers.decode(F.substring(delta, 1, headers.HEADER_SIZE), headers.HEADER)
     why = F.when(contained, F.coalesce(headers.header_error(delta), F.when(h["tool"] != chosen.tool, "another codec made this delta")))

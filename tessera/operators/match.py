@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import fuzzy_match, shape
 from ..functions.scoring import LOOK_AHEAD, THRESHOLD, score, sizes_within_fifth, sizes_within_two
 from ..plans.ordered import running
+from ..session import ship
 
 
 def last_wins(entries: DataFrame) -> DataFrame:
@@ -91,57 +91,55 @@ def best(target: DataFrame, source: DataFrame) -> DataFrame:
     return all_.select("ti", "path", kind.alias("kind"), F.coalesce("exact_si", "fuzzy_si").alias("si"))
 
 
-_COMPAT = "ti bigint, path string, kind string, si bigint, behind boolean, eff bigint"
-
+#: Source entries that the windows of runs are looked up by together.
+_WIDTH = 64
 
-def _walk(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-    """The sequential matcher: the last match and the cursor are carried from target entry to target entry."""
-    s = s.sort_values("idx")
-    by_path = dict(zip(s["path"], range(len(s)), strict=True))
-    shapes, paths, sizes, offs = s["shape"].tolist(), s["path"].tolist(), s["size"].tolist(), s["off"].tolist()
 
-    def fuzzy(path: str, kind: str, size: int, last: int) -> int | None:
-        for i in range(last + 1, min(last + LOOK_AHEAD, len(paths))):
-            if shapes[i] != kind:
+def _walk(run: pd.DataFrame, window: pd.DataFrame) -> pd.DataFrame:
+    """The forward candidates that a run takes, one target entry after the other: each starts where the last ended."""
+    near = {e.si: e for e in window.itertuples()}
+    rows, last = [], None
+    for e in run.sort_values("ti").itertuples():
+        last = e.last if last is None else last
+        for i in range(last + 1, last + LOOK_AHEAD):
+            s = near.get(i)
+            if s is None or s.shape != e.shape:
                 continue
-            differing = sum(a != b for a, b in zip(path.split("/"), paths[i].split("/"), strict=True))
-            small, big = sorted((size, sizes[i]))
+            differing = sum(a != b for a, b in zip(e.path.split("/"), s.s_path.split("/"), strict=True))
+            small, big = sorted((e.t_size, s.s_size))
             similar = big == 0 or (small > 0 and 2 * small >= big)
             if 10 * similar + LOOK_AHEAD + 1 - (i - last) + 10 * (differing < 2) > THRESHOLD:
-                return i
-        return None
-
-    rows, last, cursor = [], 0, 0
-    for e in t.sort_values("idx").itertuples():
-        si, kind = by_path.get(e.path), "exact"
-        if si is None:
-            si, kind = fuzzy(e.path, e.shape, e.size, last), "fuzzy"
-        behind, eff = False, 0
-        if si is None:
-            kind = "none"
-        else:
-            last = si
-            if offs[si] < cursor:
-                behind = True
-            else:
-                eff = sizes[si]
-                if eff:
-                    cursor = offs[si] + eff
-        rows.append((e.idx, e.path, kind, si, behind, eff))
-    out = pd.DataFrame(rows, columns=["ti", "path", "kind", "si", "behind", "eff"])
-    return out.astype({"si": "Int64"})
+                rows.append((e.ti, i))
+                last = i
+                break
+    return pd.DataFrame(rows, columns=["ti", "fuzzy_si"]).astype("int64")
 
 
 def compat(target: DataFrame, source: DataFrame) -> DataFrame:
     """(ti, path, kind, si, behind, eff): the matches of a reader that only moves forward, entry by entry.
 
     A path of the source is an exact match; else the first accepted candidate of the LOOK_AHEAD - 1 entries
-    after the last match. What lies before the cursor is behind and has an effective size of 0. Each decision
-    depends on the one before, so one task walks the metadata of a pair of snapshots; ``best`` has no such
-    task. Source indices must be dense.
-    """
-    t = target.select(F.lit(0).alias("pair"), "idx", "path", "size", shape(F.col("path")).alias("shape"))
-    s = source.select(F.lit(0).alias("pair"), "idx", "path", "size", "off", shape(F.col("path")).alias("shape"))
-    return t.groupBy("pair").cogroup(s.groupBy("pair")).applyInPandas(_walk, _COMPAT)
-
+    after the last match. What lies before the cursor is behind and has an effective size of 0.
 
+    A fuzzy match depends on the one before, but an exact match doesn't and starts anew; so the runs of target entries
+    between two exact matches are walked each by itself, over the LOOK_AHEAD source entries an entry that it can reach.
+    Only a run, not a snapshot, must fit a task: that is large where hardly any path is in both snapshots. The cursor is
+    a running maximum. Source indices must be dense and source segments disjoint (``overlaps``).
+    """
+    ship(SparkSession.active())
+    found = exact(target, source)
+    at = F.when(F.col("s_idx").isNotNull(), F.col("t_idx"))
+    open_ = running(found, "t_idx", {"last": ("last", F.col("s_idx")), "run": ("max", at)}).where("s_idx is null")
+    named = open_.select(F.coalesce("run", F.lit(-1)).alias("run"), F.col("t_idx").alias("ti"), "path", "t_size", F.coalesce("last", F.lit(0)).cast("bigint").alias("last"), shape(F.col("path")).alias("shape"))
+    runs = named.groupBy("run").agg(F.min("last").alias("last"), (F.min("last") + F.count("*") * (LOOK_AHEAD - 1)).alias("end"))
+    spread = runs.select("*", F.explode(F.sequence(F.floor((F.col("last") + 1) / _WIDTH), F.floor(F.col("end") / _WIDTH))).alias("bucket"))
+    s = source.select(F.col("idx").alias("si"), F.col("path").alias("s_path"), F.col("size").alias("s_size"), shape(F.col("path")).alias("shape"), F.floor(F.col("idx") / _WIDTH).alias("bucket"))
+    window = spread.join(s, "bucket").where((F.col("si") > F.col("last")) & (F.col("si") <= F.col("end"))).select(F.col("run").alias("_run"), "si", "s_path", "s_size", "shape")
+    fuzzy = named.groupBy("run").cogroup(window.groupBy("_run")).applyInPandas(_walk, "ti bigint, fuzzy_si bigint")
+    plain = found.select(F.col("t_idx").alias("ti"), "path", F.col("s_idx").alias("exact_si")).join(fuzzy, "ti", "left")
+    kind = F.when(F.col("exact_si").isNotNull(), "exact").when(F.col("fuzzy_si").isNotNull(), "fuzzy").otherwise("none")
+    matched = plain.select(F.col("ti").alias("t_idx"), "path", kind.alias("kind"), F.coalesce("exact_si", "fuzzy_si").alias("si"))
+    sized = matched.join(source.select(F.col("idx").alias("si"), F.col("size").alias("s_size"), F.col("off").alias("s_off")), "si", "left")
+    moved = with_cursor(sized)
+    eff = F.when(F.col("si").isNull() | F.col("behind"), 0).otherwise(F.col("s_size"))
+    return moved.select(F.col("t_idx").alias("ti"), "path", "kind", "si", "behind", eff.cast("bigint").alias("eff"))

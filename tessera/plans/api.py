@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import classify, codec, delta, images, whole
+from ..functions.codes import FORMS
+from ..operators import classify, codec, delta, images, match, whole
 from ..session import ship
 from ..sources import container, headers, snapshots, streams
 from .scratch import Scratch
@@ -27,12 +28,20 @@ def generate(spark: SparkSession, source: str, target: str, out: str, codec_name
         spark.createDataFrame([(bytearray(patch),)], "patch binary").write.mode("overwrite").parquet(f"{out}/records")
         meta.write.mode("overwrite").parquet(f"{out}/header")
         return spark.createDataFrame([("whole", 1, len(patch))], "status string, entries bigint, record_bytes bigint")
+    if mode == "compat":
+        _disjoint(s)
     delta.generate(s, t, codec_name, mode).write.mode("overwrite").parquet(f"{out}/records")
     t.entries.select("idx", "path", "size", "sha").write.mode("overwrite").parquet(f"{out}/target")
     meta.write.mode("overwrite").parquet(f"{out}/header")
     return classify.summary(spark.read.parquet(f"{out}/records"), F.col("patch_size"))
 
 
+def _disjoint(source: snapshots.Snapshot) -> None:
+    bad = match.overlaps(source.entries).limit(3).collect()
+    if bad:
+        raise ValueError("source segments overlap: " + ", ".join(r["path"] for r in bad))
+
+
 def apply(spark: SparkSession, source: str, delta_path: str, out: str | None = None) -> DataFrame:
     """The target entries (idx, path, content) that a delta makes of ``source``; written as a pseudo-file if ``out``
     is given. A per-entry delta is checked against the target's checksums, and a difference is an error."""
@@ -72,14 +81,22 @@ def apply_images(spark: SparkSession, source: str, delta_path: str, name: str |
     return images.apply(deltas, images.read_images(spark, source, name), first["codec"] if first else codec.DEFAULT)
 
 
-def export_container(spark: SparkSession, source: str, target: str, out: str, ts: int = 0, comp: int = 6, flags: int = 0x00C0, codec_name: str = codec.DEFAULT) -> int:
+def neutral_header(spark: SparkSession, tool: int, ts: int = 0, comp: int = 6, flags: int = 0x00C0) -> bytes:
+    """The header of a delta whose target is no image."""
+    return bytes(spark.range(1).select(headers.header_bytes(F.lit(tool), F.lit(ts), F.lit(comp), F.lit(flags)).alias("h")).first()["h"])
+
+
+def export_container(spark: SparkSession, source: str, target: str, out: str, codec_name: str = codec.DEFAULT, head: bytes | None = None) -> int:
     """Writes the delta as one container, by the compatible matcher, and returns its bytes.
 
     Source offsets count from the start of the source stream: the length of its manifest is added, as in the
-    records' definition. Both snapshots are pseudo-files.
+    records' definition. Both snapshots are pseudo-files; ``head`` is the delta's header (``headers.header_for``), a neutral
+    one if none is given. Source segments that overlap are an error, as a reader that only moves forward can't take them.
     """
     ship(spark)
     chosen = codec.codec(codec_name)
+    if FORMS.get(chosen.tool) != "entries":
+        raise ValueError(f"codec {chosen.name!r} makes one patch of whole files (files.generate_file)")
     texts, starts = [], []
     for path in (source, target):
         with streams.open_input(path) as f:
@@ -89,11 +106,11 @@ def export_container(spark: SparkSession, source: str, target: str, out: str, ts
             f.seek(0)
             texts.append(f.read(starts[-1]))
     s, t = snapshots.of_pseudo(spark, source), snapshots.of_pseudo(spark, target)
+    _disjoint(s)
     table = delta.generate(s, t, codec_name, "compat")
     # a new entry has no source: its offset only says that a patch follows
     placed = table.withColumn("src_off", F.coalesce("src_off", F.lit(0)) + starts[0])
-    head = spark.range(1).select(headers.header_bytes(F.lit(chosen.tool), F.lit(ts), F.lit(comp), F.lit(flags)).alias("h")).first()["h"]
-    return container.write_container(bytes(head), chosen.encode(texts[0], texts[1]), len(texts[0]), placed, out)
+    return container.write_container(head or neutral_header(spark, chosen.tool), chosen.encode(texts[0], texts[1]), len(texts[0]), placed, out)
 
 
 def import_container(spark: SparkSession, source: str, path: str) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.binary import le_bytes, le_uint
 from ..functions.codes import COMPRESSION, DELTA_MAGIC, FORMAT_VERSION, HEADER_SIZE, OWN_TOOLS, SUPERBLOCK_MAGIC, TOOLS, TOOLS_VERSION, XDELTA3_MAGIC, unsupported
+from ..session import ship
+from . import streams
 
 #: field -> (offset, width)
 SUPERBLOCK = {"magic": (0, 4), "inode_count": (4, 4), "mtime": (8, 4), "block_size": (12, 4), "fragment_count": (16, 4), "comp": (20, 2), "block_log": (22, 2), "flags": (24, 2), "id_count": (26, 2), "major": (28, 2), "minor": (30, 2)}
@@ -57,13 +62,53 @@ def header_of(block: Column, tool: int) -> Column:
     return F.struct(F.lit(DELTA_MAGIC).alias("magic"), F.lit(FORMAT_VERSION).alias("format_v"), F.lit(TOOLS_VERSION).alias("tools_v"), F.lit(tool).alias("tool"), block["mtime"].alias("ts"), block["comp"].alias("comp"), block["flags"].alias("flags"))
 
 
-def read_superblocks(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """(path, the fields, error) of every image under ``path``. ``strict`` raises at the first unusable one.
+def header_for(spark: SparkSession, head: bytes, tool: int) -> tuple[str | None, bytes]:
+    """Why an image that starts with these bytes can't be rebuilt, or None, and the header of its delta."""
+    row = spark.createDataFrame([(bytearray(head[:HEADER_SIZE]),)], "head binary").select(decode(F.col("head"), SUPERBLOCK).alias("b"))
+    h = header_of(F.col("b"), tool)
+    error, made = row.select(superblock_error(F.col("b")), header_bytes(h["tool"], h["ts"], h["comp"], h["flags"])).first()
+    return error, bytes(made or b"")
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        super().__init__(paths)
+        self.paths = paths
+
+
+class Heads(DataSource):
+    """``spark.read.format("heads").load(path)``: (path, head), the first HEADER_SIZE bytes of a file or of every file in a
+    folder. Nothing else of the files is read, however large they are."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "heads"
+
+    def schema(self) -> str:
+        return "path string, head binary"
 
-    The files are read by Spark, from any store, and only their first bytes reach the plan's later steps.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, HEADER_SIZE).alias("head"))
-    found = files.select("path", decode(F.col("head"), SUPERBLOCK).alias("b"))
+    def reader(self, schema) -> DataSourceReader:
+        return _HeadReader(self.options["path"])
+
+
+class _HeadReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[InputPartition]:
+        found = streams.files(self.path)
+        return [_Files(found[i : i + 64]) for i in range(0, len(found), 64)] or [_Files([])]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            with streams.open_input(path) as f:
+                yield path, f.read(HEADER_SIZE)
+
+
+def read_superblocks(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """(path, the fields, error) of every image under ``path``. ``strict`` raises at the first unusable one."""
+    ship(spark).dataSource.register(Heads)
+    found = spark.read.format("heads").load(path).select("path", decode(F.col("head"), SUPERBLOCK).alias("b"))
     error = superblock_error(F.col("b"))
     if strict:
         error = F.when(error.isNotNull(), F.raise_error(F.concat(F.col("path"), F.lit(": "), error)).cast("string"))
