@@ -92,23 +92,28 @@ def automaton(sample: list[int], size: int) -> np.ndarray:
     return table.astype(np.int32).ravel()
 
 
-def phrases(rows: np.ndarray, first: np.ndarray, table: np.ndarray, size: int, before: int = 0) -> tuple[np.ndarray, int]:
-    """How many phrases end in every row of symbols, and the state after the last row.
+def by_step(rows: np.ndarray) -> np.ndarray:
+    """Rows of symbols as columns, for ``phrases``."""
+    return np.ascontiguousarray(rows.T).astype(np.int32)
+
+
+def phrases(steps: np.ndarray, first: np.ndarray, table: np.ndarray, before: int = 0) -> tuple[np.ndarray, int]:
+    """How many phrases end in every row of symbols (``steps`` is by_step of the rows), and the state after the last row.
 
     The rows are consecutive segments of texts, ``first`` marks those that start one, and ``before`` is the state in
     which a first row that starts none begins. All rows step together from the root; then those whose text was in another
     state go again from there, until they meet the states of before, which most do after a phrase or two, and so on
     until no row's last state changes.
     """
-    steps = np.ascontiguousarray(rows.T).astype(np.int32)
+    n = steps.shape[1]
     path = np.empty(steps.shape, dtype=np.int32)
-    state = np.zeros(len(rows), dtype=np.int32)
+    state, ended = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int64)
     for at, column in enumerate(steps):
         state += column
         state = table.take(state)
         path[at] = state
+        ended += state & 1
         state >>= 1
-    ended = (path & 1).sum(axis=0, dtype=np.int64)
     last = state.copy()
     todo = np.flatnonzero(~first)
     while len(todo):
@@ -123,7 +128,7 @@ def phrases(rows: np.ndarray, first: np.ndarray, table: np.ndarray, size: int, b
             apart = new >> 1 != old >> 1
             live, state = live[apart], (new >> 1)[apart]
         last[live] = state
-        todo = live[live + 1 < len(rows)] + 1
+        todo = live[live + 1 < n] + 1
         todo = todo[~first[todo]]
     return ended, int(last[-1])
 
@@ -171,8 +176,9 @@ class Model:
                 left = counts[part[row]] * SEGMENT - len(texts[part[row]])
                 if left and (at + row + 1 == len(owner) or owner[at + row + 1] != part[row]):
                     rows[row, SEGMENT - left :] = self.size
+            steps = by_step(rows)
             for k, table in enumerate(self.tables):
-                ended, states[k] = phrases(rows, first[at : at + LANES], table, self.size, states[k])
+                ended, states[k] = phrases(steps, first[at : at + LANES], table, states[k])
                 total[:, k] += np.bincount(part, weights=ended, minlength=len(texts))
         return total / np.maximum(1, [[len(t)] for t in texts])
 

@@ -28,7 +28,7 @@ def test_automaton_parses_like_a_search():
         text = bytes(rng.randrange(7) for _ in range(50))
         table = language_id.automaton(list(sample), 7)
         rows = np.array([*text, *[7] * 14], dtype=np.uint8).reshape(-1, 8)
-        ended, _ = language_id.phrases(rows, np.arange(len(rows)) == 0, table, 7)
+        ended, _ = language_id.phrases(language_id.by_step(rows), np.arange(len(rows)) == 0, table)
         assert ended.sum() + 1 == greedy(text, sample)
 
 
@@ -304,3 +304,34 @@ def test_pages_of_equal_rows_and_very_long_ones(spark):
     got = html_text.extract(spark.createDataFrame(rows, "html string, text string")).orderBy("text").collect()
     one = "A sentence of the story, and one more of them."
     assert [r["main_text"] for r in got] == [" ".join([one] * 20_000)] * 2 + [one] * 2
+
+
+def test_expected_steps_equal_a_sum_over_all_labellings():
+    import itertools
+    import math
+
+    rng = random.Random(6)
+    for n in (1, 2, 5):
+        e = [rng.uniform(-2, 2) for _ in range(n)]
+        step = tuple(tuple(rng.uniform(-1, 1) for _ in range(2)) for _ in range(2))
+        start = rng.uniform(-1, 1)
+        weight = {}
+        for y in itertools.product((0, 1), repeat=n):
+            weight[y] = math.exp(sum(a * v for a, v in zip(y, e, strict=True)) + start * y[0] + sum(step[a][b] for a, b in itertools.pairwise(y)))
+        z = sum(weight.values())
+        one, steps = html_text._expected(e, step, start)
+        assert np.allclose(one, [sum(w for y, w in weight.items() if y[i]) / z for i in range(n)])
+        want = [[sum(w * sum((a, b) == p for p in itertools.pairwise(y)) for y, w in weight.items()) / z for b in (0, 1)] for a in (0, 1)]
+        assert np.allclose(steps, want)
+
+
+def test_training_climbs_to_where_the_gradient_is_nought():
+    # with the decay, the optimum is where observed and expected counts differ by decay times the weight
+    pages = [([html_text.Block("t", (x,), []) for x in xs], list(ys)) for xs, ys in (("aab", (1, 1, 0)), ("ba", (0, 1)), ("ab", (0, 0)), ("bb", (1, 0)), ("a", (1,)))]
+    f = html_text.train(pages, epochs=3000, rate=0.05, decay=0.05)
+    total = {"a": 0.0, "b": 0.0}
+    for blocks, ys in pages:
+        one, _ = html_text._expected(f.emissions(blocks), f.step, f.start)
+        for block, p, y in zip(blocks, one, ys, strict=True):
+            total[block.above[0]] += p - y
+    assert all(abs(total[x] + len(pages) * 0.05 * f.weights[x]) < 0.15 for x in total)

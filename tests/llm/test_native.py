@@ -42,6 +42,16 @@ def test_counts(spark):
     assert kept.columns == [*df.columns, "quality"] and kept.count() == 0 and quality_rules.judge(df.where("false")).count() == 0
 
 
+def test_quality_of_repeated_and_very_long_rows(spark):
+    long = " ".join(f"word{i} of the text" for i in range(120_000)) + "\n" + "the line of it\n" * 20_000
+    texts = [long, long, "a few words", "a few words"]
+    got = quality_rules.judge(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    for r, t in zip(got, texts, strict=True):
+        want = count(t)
+        assert {k: r["quality"][k] for k in want} == want
+    assert got[0]["quality"] == got[1]["quality"] and got[2]["quality"] == got[3]["quality"]
+
+
 def test_clean_documents_pass_and_junk_fails(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     judged = quality_rules.judge(docs, into="q").select("quality", "toxic", "q.base_failed", "q.kept").collect()
