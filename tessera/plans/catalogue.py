@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, paths, scoring
 from ..operators import blocks, classify, delta, images, match
-from ..sources import container, headers, pseudo, snapshots
+from ..sources import container, headers, pseudo, snapshots, streams
 from ..sources.snapshots import Snapshot
+from . import api, files
+from .scratch import forget, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -218,6 +221,13 @@ def delta_summary_compat(spark, sf_dir):
     return classify.summary(classify.plan(t, s, "compat"))
 
 
+@query(f"{_BEST} select status, count(*) as entries, cast(sum(t_size) as bigint) as target_bytes, cast(sum(case when status = 'identical' then 8 else 24 + t_size end) as bigint) as record_bytes from planned group by status")
+def delta_summary_store(spark, sf_dir):
+    """The delta's size with its real patches; stored ones are as long as their target, so that SQL knows them."""
+    s, t = _documents(spark, sf_dir)
+    return classify.summary(delta.generate(s, t, "store"), F.col("patch_size"))
+
+
 @query(f"{_BEST} select cast(sum(case when status = 'identical' then t_size else 0 end) as bigint) as saved_bytes, cast(sum(t_size) as bigint) as target_bytes, count(*) filter (status = 'identical') * 8 as identical_records from planned")
 def delta_size_identical_bytes(spark, sf_dir):
     s, t = _documents(spark, sf_dir)
@@ -353,6 +363,63 @@ def roundtrip_repeated_paths(spark, sf_dir):
     return delta.apply(delta.generate(s, t), s).select("idx", "path", F.octet_length("content").cast("bigint").alias("size"), F.md5("content").alias("md5"))
 
 
+# --- files: the derived pair as pseudo-files in the shared folder, and deltas between them ---------------------------
+
+
+def _files(spark, sf_dir) -> tuple[str, str, str]:
+    """The paths of the two pseudo-files, and one for a delta."""
+    folder = f"{shared_dir(spark).rstrip('/')}/tessera-files-{uuid.uuid4().hex}"
+    streams.make_folder(folder)
+    forget(spark, folder)
+    made = []
+    for name, one in zip(("source", "target"), _documents(spark, sf_dir), strict=True):
+        made.append(f"{folder}/{name}")
+        pseudo.write_pseudo(snapshots.contents(one.entries.select("idx", "path", "sha"), one.payload, "idx"), made[-1])
+    return made[0], made[1], f"{folder}/delta"
+
+
+@query(f"{_PAIR} select idx, path, 'R' as type, size, off, md5(content) as md5 from s")
+def pseudo_file_scan(spark, sf_dir):
+    """The data source of pseudo-files: manifest, segments and contents."""
+    source, _, _ = _files(spark, sf_dir)
+    return pseudo.read_pseudo(spark, source).select("idx", "path", "type", "size", "off", F.md5("content").alias("md5"))
+
+
+_MANIFEST_BYTES = "cast((select sum(strlen(path || ' R 0 644 0 0 ' || size || ' ' || off) + 1) from s) + strlen('#') + 1 + strlen('# START OF DATA - DO NOT MODIFY') + 1 + 2 as bigint)"
+
+
+@query(
+    f"""{_RECURSIVE}, p as (select walk.ti, s.idx as si, s.off as o, t.size as tz, md5(t.content) as md5,
+      case when not behind and si is not null and eff = t.size and (eff = 0 or md5(s.content) = md5(t.content)) then 'identical' when eff = 0 then 'new' else 'modified' end as status, eff
+      from walk join t on t.idx = walk.ti left join s on s.idx = walk.si)
+    select ti, case when status = 'identical' then 'identical' else 'patch' end as kind, case when status = 'identical' then si end as si,
+      case when status = 'modified' then o + {_MANIFEST_BYTES} when status = 'new' then {_MANIFEST_BYTES} end as src_off,
+      case when status = 'modified' then eff when status = 'new' then 0 end as src_size, case when status <> 'identical' then tz end as patch_size, case when status <> 'identical' then md5 end as md5 from p"""
+)
+def container_scan(spark, sf_dir):
+    """The records of a container file, as its data source reads them; the manifest's record apart."""
+    source, target, out = _files(spark, sf_dir)
+    api.export_container(spark, source, target, out, "store")
+    return container.read_container(spark, out).where("ti >= 0").select("ti", "kind", "si", "src_off", "src_size", "patch_size", F.md5("patch").alias("md5"))
+
+
+def _by_file(spark, sf_dir, name: str) -> DataFrame:
+    source, target, out = _files(spark, sf_dir)
+    files.generate_file(spark, source, target, out, name)
+    files.apply_file(spark, source, out, f"{out}.made")
+    return pseudo.read_pseudo(spark, f"{out}.made").select("idx", "path", "size", F.md5("content").alias("md5"))
+
+
+@query(f"{_PAIR} select idx, path, size, md5(content) as md5 from t")
+def container_roundtrip(spark, sf_dir):
+    return _by_file(spark, sf_dir, "zstd:3")
+
+
+@query(f"{_PAIR} select idx, path, size, md5(content) as md5 from t")
+def stream_roundtrip(spark, sf_dir):
+    return _by_file(spark, sf_dir, "zstd-stream:3")
+
+
 # --- layouts: the entries are documents of the tables, so that nothing is invented ---------------------------------
 
 _FIELDS = "doc_id as id, 1 + doc_id % 6 as comp, case when doc_id % 2 = 0 then 1 else 2 end as tool, 1700000000 + doc_id as ts, (doc_id * 16) % 1024 as flags"
@@ -452,3 +519,11 @@ def image_roundtrip(spark, sf_dir):
     made = images.apply(deltas, source).select("name", F.md5("content").alias("md5"), F.array_join("arguments", " ").alias("arguments"))
     magic = F.when(F.col("kind") == "container", F.lower(F.hex(F.substring("delta", 1, 4))))
     return deltas.select("name", "kind", magic.alias("magic")).join(made, "name")
+
+
+@query(f"select cast(doc_id as varchar) as name, md5(unhex({_IMAGE} || hex(encode(coalesce(text, '') || ' patched')))) as md5 from documents where doc_id % 10 <> 0")
+def image_apply_by_magic(spark, sf_dir):
+    """Deltas that say by their first bytes only what they are."""
+    source = _images(spark, sf_dir, "")
+    deltas = images.generate(source, _images(spark, sf_dir, " patched").where("cast(name as bigint) % 10 <> 0"))
+    return images.apply(deltas.drop("kind"), source).select("name", F.md5("content").alias("md5"))

@@ -9,20 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one serves a local session; on a cluster that
+    is an error, as its executors don't share such folders."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(place)
     return place
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Has a folder removed when the session's JVM ends: until then a plan may read it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 class Scratch:
     """``keep(df)`` writes a table and rereads it, so that any executor can read it again after a loss.
-    ``drop(df)`` removes what ``keep`` wrote, once nothing reads it."""
+    ``drop(df)`` removes what ``keep`` wrote, once nothing reads it; the rest goes when the session's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -33,6 +42,8 @@ class Scratch:
         self.count += 1
         path = f"{self.base}/{self.count}"
         df.write.parquet(path)
+        if self.count == 1:
+            forget(self.spark, self.base)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back

@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,6 +21,7 @@ from ..functions.codes import HEADER_SIZE
 from . import streams
 
 SCHEMA = "container string, ti bigint, kind string, si bigint, src_off bigint, src_size bigint, patch_size bigint, patch binary"
+_ARROW = pa.schema([("container", pa.string()), ("ti", pa.int64()), ("kind", pa.string()), *[(c, pa.int64()) for c in ("si", "src_off", "src_size", "patch_size")], ("patch", pa.binary())])
 TASK_BYTES = 64 << 20
 _WORD, _REST = struct.Struct("<q"), struct.Struct("<qq")
 
@@ -105,16 +107,19 @@ class _Reader(DataSourceReader):
                     out.append(_Part(path, some))
         return out or [_Part("", [])]
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        return streams.batches(self._rows(partition), _ARROW)
+
+    def _rows(self, partition: _Part) -> Iterator[tuple[tuple, int]]:
         if not partition.records:
             return
         with streams.open_input(partition.path) as f:
             for n, control, src, size, at in partition.records:
                 if n and control <= 0:
-                    yield partition.path, n - 1, "identical", -control, None, None, None, None
+                    yield (partition.path, n - 1, "identical", -control, None, None, None, None), 0
                 else:
                     f.seek(at)
-                    yield partition.path, n - 1, "patch", None, control, src, size, f.read(size)
+                    yield (partition.path, n - 1, "patch", None, control, src, size, f.read(size)), size
 
 
 def read_container(spark: SparkSession, path: str) -> DataFrame:

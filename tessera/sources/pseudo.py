@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,6 +22,7 @@ from . import streams
 
 MARKER = "# START OF DATA - DO NOT MODIFY"
 SCHEMA = "snapshot string, idx bigint, path string, type string, size bigint, off bigint, content binary"
+_ARROW = pa.schema([("snapshot", pa.string()), ("idx", pa.int64()), ("path", pa.string()), ("type", pa.string()), ("size", pa.int64()), ("off", pa.int64()), ("content", pa.binary())])
 _NAME = r"^((?:\\.|[^ \\])+) "
 #: Payload of a read task, roughly.
 TASK_BYTES = 64 << 20
@@ -140,7 +142,10 @@ class _Reader(DataSourceReader):
                     first, held = i + 1, 0
         return out or [_Part("", 0, 0, [])]
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        return streams.batches(self._rows(partition), _ARROW)
+
+    def _rows(self, partition: _Part) -> Iterator[tuple[tuple, int]]:
         if not partition.entries:
             return
         with streams.open_input(partition.path) as f:
@@ -151,7 +156,7 @@ class _Reader(DataSourceReader):
                     content = f.read(e.size) if e.size else b""
                     if len(content) != e.size:
                         raise ValueError(f"{partition.path}: payload of {e.path!r} ends early")
-                yield partition.path, i, e.path, "R", e.size, e.off, content
+                yield (partition.path, i, e.path, "R", e.size, e.off, content), len(content or b"")
 
 
 def read_pseudo(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
+import pyarrow as pa
 from pyarrow import fs
 
 
@@ -13,6 +15,20 @@ def _resolve(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
+def batches(rows: Iterable[tuple[tuple, int]], schema: pa.Schema, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows, each with its bytes, as Arrow batches of about ``most`` bytes."""
+    some: list[tuple] = []
+    held = 0
+    for row, n in rows:
+        some.append(row)
+        held += n + 64
+        if held >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+            some, held = [], 0
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+
 def open_input(path: str) -> BinaryIO:
     place, name = _resolve(path)
     return place.open_input_file(name)
@@ -29,6 +45,11 @@ def write_chunks(path: str, chunks) -> int:
     return n
 
 
+def make_folder(path: str) -> None:
+    place, name = _resolve(path)
+    place.create_dir(name, recursive=True)
+
+
 def rename(old: str, new: str) -> None:
     place, name = _resolve(old)
     place.move(name, _resolve(new)[1])
