@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import classify
 from .codec import DEFAULT, codec
+from ..plans.scratch import Scratch
 from ..session import ship
 from ..sources.snapshots import Snapshot, contents
 
@@ -39,7 +40,8 @@ def _decoder(name: str):
 def generate(source: Snapshot, target: Snapshot, name: str = DEFAULT, mode: str = "best") -> DataFrame:
     """The delta table, one row a target entry (COLUMNS). Only entries that changed meet their contents, and
     only these reach the encoder."""
-    planned = classify.plan(target, source, mode).withColumn("codec", F.lit(name))
+    # metadata only; written once, as both branches and whoever reads the delta would match anew
+    planned = Scratch(source.entries.sparkSession, "plan").keep(classify.plan(target, source, mode).withColumn("codec", F.lit(name)))
     empty = F.lit(None)
     same = planned.where("status = 'identical'").select(*planned.columns, empty.cast("binary").alias("patch"), empty.cast("bigint").alias("patch_size"))
     changed = planned.where("status <> 'identical'")

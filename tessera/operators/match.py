@@ -93,23 +93,26 @@ def best(target: DataFrame, source: DataFrame) -> DataFrame:
 
 #: Source entries that the windows of runs are looked up by together.
 _WIDTH = 64
+#: Target entries whose runs one task walks in one call.
+_TOGETHER = 1 << 14
 
 
-def _walk(run: pd.DataFrame, window: pd.DataFrame) -> pd.DataFrame:
-    """The forward candidates that a run takes, one target entry after the other: each starts where the last ended."""
-    near = {e.si: e for e in window.itertuples()}
-    rows, last = [], None
-    for e in run.sort_values("ti").itertuples():
-        last = e.last if last is None else last
+def _walk(entries: pd.DataFrame, window: pd.DataFrame) -> pd.DataFrame:
+    """The forward candidates that runs take, one target entry after the other: each starts where the last ended."""
+    near = {(run, si): rest for run, si, *rest in window[["run", "si", "shape", "s_path", "s_size"]].itertuples(index=False)}
+    rows, now, last = [], None, 0
+    for run, ti, path, size, first, kind in entries[["run", "ti", "path", "t_size", "last", "shape"]].sort_values("ti").itertuples(index=False):
+        if run != now:
+            now, last = run, first
         for i in range(last + 1, last + LOOK_AHEAD):
-            s = near.get(i)
-            if s is None or s.shape != e.shape:
+            s_shape, s_path, s_size = near.get((run, i), (None, "", 0))
+            if s_shape != kind:
                 continue
-            differing = sum(a != b for a, b in zip(e.path.split("/"), s.s_path.split("/"), strict=True))
-            small, big = sorted((e.t_size, s.s_size))
+            differing = sum(a != b for a, b in zip(path.split("/"), s_path.split("/"), strict=True))
+            small, big = sorted((size, s_size))
             similar = big == 0 or (small > 0 and 2 * small >= big)
             if 10 * similar + LOOK_AHEAD + 1 - (i - last) + 10 * (differing < 2) > THRESHOLD:
-                rows.append((e.ti, i))
+                rows.append((ti, i))
                 last = i
                 break
     return pd.DataFrame(rows, columns=["ti", "fuzzy_si"]).astype("int64")
@@ -135,7 +138,8 @@ def compat(target: DataFrame, source: DataFrame) -> DataFrame:
     spread = runs.select("*", F.explode(F.sequence(F.floor((F.col("last") + 1) / _WIDTH), F.floor(F.col("end") / _WIDTH))).alias("bucket"))
     s = source.select(F.col("idx").alias("si"), F.col("path").alias("s_path"), F.col("size").alias("s_size"), shape(F.col("path")).alias("shape"), F.floor(F.col("idx") / _WIDTH).alias("bucket"))
     window = spread.join(s, "bucket").where((F.col("si") > F.col("last")) & (F.col("si") <= F.col("end"))).select(F.col("run").alias("_run"), "si", "s_path", "s_size", "shape")
-    fuzzy = named.groupBy("run").cogroup(window.groupBy("_run")).applyInPandas(_walk, "ti bigint, fuzzy_si bigint")
+    window = window.select(F.floor(F.col("_run") / _TOGETHER).alias("_g"), F.col("_run").alias("run"), "si", "s_path", "s_size", "shape")
+    fuzzy = named.withColumn("g", F.floor(F.col("run") / _TOGETHER)).groupBy("g").cogroup(window.groupBy("_g")).applyInPandas(_walk, "ti bigint, fuzzy_si bigint")
     plain = found.select(F.col("t_idx").alias("ti"), "path", F.col("s_idx").alias("exact_si")).join(fuzzy, "ti", "left")
     kind = F.when(F.col("exact_si").isNotNull(), "exact").when(F.col("fuzzy_si").isNotNull(), "fuzzy").otherwise("none")
     matched = plain.select(F.col("ti").alias("t_idx"), "path", kind.alias("kind"), F.coalesce("exact_si", "fuzzy_si").alias("si"))
