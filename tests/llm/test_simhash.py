@@ -189,7 +189,7 @@ def test_short_similar_texts_whose_fingerprints_are_far_apart(spark):
     while len(rows) < 12:  # 5 shingles and 4 of them: a similarity of 0.8
         text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(9))
         less = text.rsplit(" ", 1)[0]
-        if (fingerprint(text, 5) ^ fingerprint(less, 5)).bit_count() > (28 if len(rows) < 2 else simhash.NEAR_BITS):
+        if ((simhash.simhash(text.encode(), 5) ^ simhash.simhash(less.encode(), 5)) % 2**64).bit_count() > simhash.NEAR_BITS + (len(rows) < 2):
             if set(np.frombuffer(simhash._sketch(text.encode(), 5)[2], dtype=np.int64).tolist()) & set(np.frombuffer(simhash._sketch(less.encode(), 5)[2], dtype=np.int64).tolist()):
                 rows += [(len(rows), text), (len(rows) + 1, less)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
