@@ -47,13 +47,16 @@ _WORDS = (
 
 def labelled_samples(n: int = 2400, seed: int = 7) -> tuple[list[str], list[str]]:
     """``n`` random strings of the usual encodings, and ``n`` ordinary identifiers, both of 6 to some 64 characters:
-    words in the usual spellings, paths, plain and long words, versions, dates, numbers and rules of punctuation."""
+    words in the usual spellings, abbreviated ones, paths, plain and long words, versions, dates, numbers and rules of
+    punctuation."""
     rng = random.Random(seed)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     codes = ("0123456789abcdef", lower + upper + digits, lower + upper + digits + "+/", lower + upper + digits + "_-", upper + "234567", lower + digits)
     yes = ["".join(rng.choices(codes[i % len(codes)], k=rng.randint(6, 64))) for i in range(n)]
     vowels, consonants, no = "aeiou", "bcdfghklmnprstvwz", []
     syllables = lambda k: "".join(rng.choice(consonants) + rng.choice(vowels) + rng.choice(("", rng.choice(consonants))) for _ in range(k))
+    brief = lambda w: rng.choice((w[:3], w[:4], "".join(c for c in w if c not in vowels)[:5]))
+    initials = lambda: "".join(w[0] for w in rng.choices(_WORDS, k=rng.randint(2, 4)))
     for i in range(n):
         words = rng.choices(_WORDS, k=rng.randint(1, 8))
         no.append(
@@ -74,7 +77,11 @@ def labelled_samples(n: int = 2400, seed: int = 7) -> tuple[list[str], list[str]
                 lambda: f"{words[0]}-{rng.randint(0, 30)}-{rng.randint(0, 9)}-{rng.choice(('rc', 'beta', 'x86_64', 'amd64', 'linux', 'v'))}{rng.randint(1, 20)}",
                 lambda: syllables(rng.randint(2, 7)).title() + rng.choice(("", "-" + syllables(3).title(), "s")),
                 lambda: f"{rng.choice(words)}={rng.choice(words)}",
-            )[i % 16]()
+                lambda: "_".join(rng.choice((w, brief(w), initials())) for w in words).upper() + rng.choice(("", "", str(rng.randint(1, 99)))),
+                lambda: "_".join(rng.choice((w, brief(w), initials())) for w in words).upper(),
+                lambda: "".join(rng.choice((w.title(), w.title(), brief(w).title(), initials().upper())) for w in words[:5]),
+                lambda: rng.choice(("_", "")) + "_".join(rng.choice((w, brief(w), initials())) for w in words) + rng.choice(("", "", str(rng.randint(1, 99)))),
+            )[i % 20]()
         )
     return yes, [x for x in no if len(x) >= 6]
 
