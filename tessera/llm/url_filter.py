@@ -97,6 +97,23 @@ def model() -> Ratio:
     return fit(*labelled_urls(), ALPHABET, ORDER, cost=30)
 
 
+def learn(labelled: DataFrame, url: str = "url", rejected: str = "rejected", sample: int = 4000, cost: int = 30) -> Ratio:
+    """The ratio of a table of URLs with a boolean ``rejected``: at most ``sample`` different addresses of each kind, those
+    of the least hash; half of them calibrate the threshold. Rows that lack either column are passed over, and an address
+    with both labels counts as both. Tables without both kinds are an error."""
+    shown = address_of(F.col(f"`{url}`"))
+    rows = labelled.select(F.regexp_replace(ascii_lower(shown), "[0-9]", "0").alias("address"), F.col(f"`{rejected}`").alias("rejected")).where("address <> '' and rejected is not null")
+
+    def some(kind: bool) -> list[str]:
+        found = rows.where(F.col("rejected") == kind).select("address").distinct()
+        return [r["address"] for r in found.orderBy(F.xxhash64("address"), "address").limit(sample).collect()]
+
+    yes, no = some(True), some(False)
+    if min(len(yes), len(no)) < 2:
+        raise ValueError("the ratio needs rejected and accepted URLs")
+    return fit(yes, no, ALPHABET, ORDER, cost)
+
+
 def host_of(url: Column) -> Column:
     return ascii_lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 

@@ -214,6 +214,21 @@ def test_no_word_of_the_lists_names_a_host_of_the_tables():
     assert names and not names & {*url_filter._REJECTED, *url_filter._SITES, *url_filter._WORDS}
 
 
+def test_a_ratio_learned_from_a_table(spark):
+    rng = random.Random(4)
+    yes, no = url_filter.labelled_urls(900, 5)
+    rows = [(f"https://{u}", kind) for us, kind in ((yes, True), (no, False)) for u in us[:700]]
+    rows += [rows[0]] * 500 + [(None, True), ("http://x", None), ("", False)]
+    rng.shuffle(rows)
+    ratio = url_filter.learn(spark.createDataFrame(rows, "url string, rejected boolean"), sample=650)
+    held = [(i, f"http://{u}") for i, u in enumerate(yes[700:] + no[700:])]
+    got = url_filter.judge(spark.createDataFrame(held, "page_id bigint, url string"), rules=(), ratio=ratio).collect()
+    blocked = {r["page_id"] for r in got if r["url_verdict"]["verdict"] == "block"}
+    assert len([i for i in blocked if i < 200]) >= 80 and len([i for i in blocked if i >= 200]) <= 2
+    with pytest.raises(ValueError):
+        url_filter.learn(spark.createDataFrame([("http://x", True)], "url string, rejected boolean"))
+
+
 def test_odd_urls(spark):
     urls = [None, "", "no scheme at all", "http://" + "a" * 1_000_000 + ".org/es/", "http://h/" + "x/" * 200_000, "http://b.org/es/1", "http://b.org/es/1"]
     df = spark.createDataFrame([(i, u, "x", "y", "z") for i, u in enumerate(urls)], "page_id bigint, url string, host string, rule string, verdict string")
