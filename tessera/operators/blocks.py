@@ -28,7 +28,7 @@ def operations(pairs: DataFrame, size: int = SIZE) -> DataFrame:
 
 def encode(pairs: DataFrame, size: int = SIZE) -> DataFrame:
     """(ti, ops): the operations of each entry in order; an entry without blocks has none."""
-    found = operations(pairs, size).groupBy("ti").agg(F.array_sort(F.collect_list(F.struct("pos", "copy", "literal"))).alias("ops"))
+    found = operations(pairs, size).groupBy("ti").agg(F.sort_array(F.collect_list(F.struct("pos", "copy", "literal"))).alias("ops"))
     return pairs.select("ti").join(found, "ti", "left").select("ti", F.coalesce("ops", F.array().cast("array<struct<pos:int,copy:int,literal:binary>>")).alias("ops"))
 
 

@@ -9,19 +9,21 @@ from ..functions.codes import FORMS
 from ..operators import classify, codec, delta, images, match, whole
 from ..session import ship
 from ..sources import container, headers, snapshots, streams
-from .scratch import Scratch
+from .scratch import Scratch, remove
 
 GRANULARITIES = ("entry", "whole")
 
 
 def generate(spark: SparkSession, source: str, target: str, out: str, codec_name: str = codec.DEFAULT, mode: str = "best", granularity: str = "entry") -> DataFrame:
     """Writes the delta from the snapshot at ``source`` to the one at ``target`` to the folder ``out`` and returns
-    its summary by status. Snapshots are pseudo-files or saved folders; a failed write leaves no delta."""
+    its summary by status. Snapshots are pseudo-files or saved folders. The header goes first and comes last, and without
+    it nothing is a delta, so a failed write leaves none, not the parts of two."""
     ship(spark)
     if granularity not in GRANULARITIES:
         raise ValueError(f"unknown granularity {granularity!r}")
     chosen = codec.codec(codec_name)
     s, t = snapshots.open_snapshot(spark, source), snapshots.open_snapshot(spark, target)
+    remove(spark, f"{out}/header")
     meta = spark.createDataFrame([(chosen.name, chosen.tool, granularity, mode)], "codec string, tool int, granularity string, mode string")
     if granularity == "whole":
         patch = whole.generate(s, t, codec_name)

@@ -23,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Has a folder removed when the session's JVM ends: until then a plan may read it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,6 +55,4 @@ class Scratch:
         return back
 
     def drop(self, df: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, df._scratch_path)

@@ -140,6 +140,19 @@ def test_generate_and_apply_by_path(spark, tmp_path):
         api.apply(spark, str(tmp_path / "new"), str(tmp_path / "entry")).collect()
 
 
+def test_a_failed_write_leaves_no_delta(spark, tmp_path, monkeypatch):
+    old, new, *_ = pair(spark, 3)
+    write(spark, tmp_path / "old", old)
+    write(spark, tmp_path / "new", new)
+    out = str(tmp_path / "delta")
+    api.generate(spark, str(tmp_path / "old"), str(tmp_path / "new"), out)
+    monkeypatch.setattr(delta, "_encoder", lambda name: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        api.generate(spark, str(tmp_path / "new"), str(tmp_path / "old"), out)
+    with pytest.raises(PySparkException):
+        api.apply(spark, str(tmp_path / "old"), out)
+
+
 def test_containers_by_path(spark, tmp_path):
     old, new, *_ = pair(spark, 6)
     write(spark, tmp_path / "old", old)
