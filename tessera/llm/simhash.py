@@ -468,13 +468,15 @@ def _strays(members: DataFrame, tried: DataFrame, marks: Callable[[DataFrame], D
     differing bits discard a pair for certain; nothing else does.
     """
     mixed = members.groupBy("k").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    held = scratch.keep(members.join(mixed.select("k", F.ceil(F.col("n") / SALTED).alias("salts")), "k"))
-    sizes = held.groupBy("k", "cls").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("k").agg(F.max(F.struct("n", "cls")).getField("cls").alias("largest"))
-    held = scratch.keep(held.join(largest, "k").join(marks(held.select("sketch").distinct()), "sketch"))
+    salts = mixed.select("k", F.ceil(F.col("n") / SALTED).alias("salts"))
+    held = scratch.keep(members.join(salts, "k").withColumn("salt", F.pmod(F.xxhash64("sketch"), "salts")))
+    each = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    sizes = held.groupBy("k", "salts", "cls").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("k", "salts").agg(F.max(F.struct("n", "cls")).getField("cls").alias("largest")).select("k", each, "largest")
+    held = scratch.keep(held.join(largest, ["k", "salt"]).join(marks(held.select("sketch").distinct()), "sketch"))
     mine = ["sketch", "cls", "n", "parity"]
-    strays = held.where("cls <> largest").select("k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"s_{c}") for c in mine])
-    salted = held.select("k", F.pmod(F.xxhash64("sketch"), "salts").alias("salt"), *mine)
+    strays = held.where("cls <> largest").select("k", each, *[F.col(c).alias(f"s_{c}") for c in mine])
+    salted = held.select("k", "salt", *mine)
     most = (F.col("n") + F.col("s_n")) * F.lit(1 - similarity) + F.lit(1e-6)
     fit = F.least("n", "s_n") >= F.greatest("n", "s_n") * F.lit(similarity) - F.lit(1e-6)
     for n in (2, PARITIES // 64):  # the first two words discard most pairs
