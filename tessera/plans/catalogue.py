@@ -366,22 +366,23 @@ def roundtrip_repeated_paths(spark, sf_dir):
 # --- files: the derived pair as pseudo-files in the shared folder, and deltas between them ---------------------------
 
 
-def _files(spark, sf_dir) -> tuple[str, str, str]:
-    """The paths of the two pseudo-files, and one for a delta."""
+def _files(spark, sf_dir, names: tuple[str, ...] = ("source", "target")) -> tuple[str, ...]:
+    """The paths of the two pseudo-files, or of those named, and one for a delta."""
     folder = f"{shared_dir(spark).rstrip('/')}/tessera-files-{uuid.uuid4().hex}"
     streams.make_folder(folder)
     forget(spark, folder)
     made = []
     for name, one in zip(("source", "target"), _documents(spark, sf_dir), strict=True):
-        made.append(f"{folder}/{name}")
-        pseudo.write_pseudo(snapshots.contents(one.entries.select("idx", "path", "sha"), one.payload, "idx"), made[-1])
-    return made[0], made[1], f"{folder}/delta"
+        if name in names:
+            made.append(f"{folder}/{name}")
+            pseudo.write_pseudo(snapshots.contents(one.entries.select("idx", "path", "sha"), one.payload, "idx"), made[-1])
+    return *made, f"{folder}/delta"
 
 
 @query(f"{_PAIR} select idx, path, 'R' as type, size, off, md5(content) as md5 from s")
 def pseudo_file_scan(spark, sf_dir):
     """The data source of pseudo-files: manifest, segments and contents."""
-    source, _, _ = _files(spark, sf_dir)
+    source, _ = _files(spark, sf_dir, ("source",))
     return pseudo.read_pseudo(spark, source).select("idx", "path", "type", "size", "off", F.md5("content").alias("md5"))
 
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.paths import unescape
-from . import streams
+from . import parts, streams
 
 MARKER = "# START OF DATA - DO NOT MODIFY"
 SCHEMA = "snapshot string, idx bigint, path string, type string, size bigint, off bigint, content binary"
@@ -51,29 +52,57 @@ def parse_line(line: str) -> Entry | None:
     return Entry(re.sub(r"\\([ \\])", r"\1", m[1]), int(rest[5]), int(rest[6]))
 
 
-def read_manifest(f) -> tuple[list[Entry], int]:
-    """The entries in order, and where the payload starts. A stream without a marker has no payload."""
-    entries, pending, at, marked = [], b"", 0, False
-    while True:
-        end = pending.find(b"\n")
-        if end < 0:
-            more = f.read(1 << 16)
-            if more:
-                pending += more
-                continue
-            if not pending:
-                return entries, at
-            end = len(pending)
-        line, pending = pending[:end], pending[end + 1 :]
-        at += end + 1
+def _lines(f) -> Iterator[tuple[int, bytes]]:
+    """The lines from where ``f`` stands, each with its number of bytes; also a last one without a line feed."""
+    pending = b""
+    while more := f.read(1 << 16):
+        *whole, pending = (pending + more).split(b"\n")
+        for line in whole:
+            yield len(line) + 1, line
+    if pending:
+        yield len(pending) + 1, pending
+
+
+def walk_manifest(f) -> Iterator[tuple[int, int, Entry | None]]:
+    """Where the line of each entry starts and ends, and the entry; at last, without an entry, where the payload starts.
+
+    Nothing is held. A stream without a marker has no payload.
+    """
+    at, marked = 0, False
+    for n, line in _lines(f):
+        at += n
         text = line.decode("utf-8", "surrogateescape")
         if marked:
             if text.startswith("#"):
-                return entries, at
+                break
         elif text.strip() == MARKER:
             marked = True
         elif entry := parse_line(text):
+            yield at - n, at, entry
+    yield at, at, None
+
+
+def read_manifest(f) -> tuple[list[Entry], int]:
+    """The entries in order, and where the payload starts."""
+    entries, at = [], 0
+    for _, at, entry in walk_manifest(f):
+        if entry:
             entries.append(entry)
+    return entries, at
+
+
+def payload_start(path: str) -> int:
+    """Where the payload of a pseudo-file starts, which is the length of its manifest."""
+    at, marked = 0, False
+    with streams.open_input(path) as f:
+        for n, line in _lines(f):
+            at += n
+            if marked:
+                if line.startswith(b"#"):
+                    break
+            elif line.startswith(b"#") or MARKER.encode() in line:
+                marked = line.decode("utf-8", "surrogateescape").strip() == MARKER
+    return at
 
 
 def parse_lines(lines: DataFrame, line: str = "line", order: str = "line_no") -> DataFrame:
@@ -100,16 +129,18 @@ def manifest_text(path: Column, size: Column, off: Column) -> Column:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, start: int, first: int, entries: list[Entry]):
+    """The lines of a manifest from ``low`` to ``high``, the first of which is entry number ``first``."""
+
+    def __init__(self, path: str, start: int = 0, first: int = 0, low: int = 0, high: int = 0):
         super().__init__(path)
-        self.path, self.start, self.first, self.entries = path, start, first, entries
+        self.path, self.start, self.first, self.low, self.high = path, start, first, low, high
 
 
 class PseudoFile(DataSource):
     """``spark.read.format("pseudo").load(path)``: the regular files of a pseudo-file, or of every one in a folder.
 
-    Planning reads the manifests only. Tasks take stretches of about TASK_BYTES of payload and seek to them,
-    so one image is read in parallel; a payload that ends early is an error. The option ``payload=false``
+    Planning reads the manifests only, and holds no entry of them: tasks get a stretch of lines for about TASK_BYTES of
+    payload and seek to both, so one image is read in parallel; a payload that ends early is an error. The option ``payload=false``
     leaves content null and reads no payload.
     """
 
@@ -132,24 +163,32 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for path in streams.files(self.path):
+            some, low, first, n, held, start = [], 0, 0, 0, 0, 0
             with streams.open_input(path) as f:
-                entries, start = read_manifest(f)
-            first = held = 0
-            for i, e in enumerate(entries):
-                held += e.size
-                if held >= TASK_BYTES or i + 1 == len(entries):
-                    out.append(_Part(path, start, first, entries[first : i + 1]))
-                    first, held = i + 1, 0
-        return out or [_Part("", 0, 0, [])]
+                for _, high, e in walk_manifest(f):
+                    if e is None:
+                        start = high
+                        if n > first:
+                            some.append((first, low, high))
+                        continue
+                    n += 1
+                    held += 64 + e.size
+                    if held >= TASK_BYTES:
+                        some.append((first, low, high))
+                        first, low, held = n, high, 0
+            out += [_Part(path, start, *p) for p in some]
+        return out or [_Part("")]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         return streams.batches(self._rows(partition), _ARROW)
 
     def _rows(self, partition: _Part) -> Iterator[tuple[tuple, int]]:
-        if not partition.entries:
+        if not partition.high:
             return
         with streams.open_input(partition.path) as f:
-            for i, e in enumerate(partition.entries, partition.first):
+            f.seek(partition.low)
+            found = (parse_line(x.decode("utf-8", "surrogateescape")) for x in f.read(partition.high - partition.low).split(b"\n"))
+            for i, e in enumerate(filter(None, found), partition.first):
                 content = None
                 if self.payload:
                     f.seek(partition.start + e.off)
@@ -164,29 +203,32 @@ def read_pseudo(spark: SparkSession, path: str, payload: bool = True) -> DataFra
     return spark.read.format("pseudo").option("payload", str(payload).lower()).load(path)
 
 
+def _write_entries(rows: Iterator, name: str) -> tuple[parts.Part, parts.Part]:
+    """Writes contents, and apart from them their lines, with offsets that count from the first of these contents."""
+    lines, off = [], 0
+
+    def contents() -> Iterator[bytes]:
+        nonlocal off
+        for r in rows:
+            if "\n" in r["path"]:
+                raise ValueError(f"a manifest can't hold a path with a line feed: {r['path']!r}")
+            path, content = re.sub(r"([ \\])", r"\\\1", r["path"]), bytes(r["content"])
+            lines.append(f"{path} R 0 644 0 0 {len(content)} {off}\n".encode("utf-8", "surrogateescape"))
+            off += len(content)
+            yield content
+
+    n = streams.write_chunks(name, contents())
+    return parts.Part(f"{name}-lines", streams.write_chunks(f"{name}-lines", lines)), parts.Part(name, n)
+
+
 def write_pseudo(entries: DataFrame, path: str) -> int:
-    """Writes (idx, path, content) as one pseudo-file in the order of idx and returns its bytes.
+    """Writes (idx, path, content), with idx dense, as one pseudo-file in the order of idx and returns its bytes.
 
-    A pseudo-file is one sequence of bytes, so one writer streams it, a partition at a time; nothing is
-    gathered. The file appears under its name when it is whole.
+    Tasks write stretches of it as parts, and one task joins them (``parts``); the driver sees their sizes only. The
+    file appears under its name when it is whole.
     """
-    rows = entries.select("idx", "path", F.octet_length("content").cast("bigint").alias("size")).orderBy("idx")
-
-    def chunks() -> Iterator[bytes]:
-        off = 0
-        for r in rows.toLocalIterator():
-            name = re.sub(r"([ \\])", r"\\\1", r["path"])
-            yield f"{name} R 0 644 0 0 {r['size']} {off}\n".encode("utf-8", "surrogateescape")
-            off += r["size"]
-        yield f"#\n{MARKER}\n#\n".encode()
-        for r in entries.select("idx", "content").orderBy("idx").toLocalIterator():
-            yield bytes(r["content"])
-
-    temporary = path + ".tmp"
-    try:
-        n = streams.write_chunks(temporary, chunks())
-        streams.rename(temporary, path)
-    except BaseException:
-        streams.remove(temporary)
-        raise
-    return n
+    with parts.folder_for(path) as folder:
+        made = parts.write_rows(entries.select("idx", "path", "content"), "idx", _write_entries, folder)
+        before = accumulate((body.size for _, body in made), initial=0)
+        heads = [replace(lines, add=add) for (lines, _), add in zip(made, before)]
+        return parts.join(entries.sparkSession, [*heads, f"#\n{MARKER}\n#\n".encode(), *(body for _, body in made)], folder, path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ordered import index_by
+from ..plans.scratch import Scratch
 from .pseudo import read_pseudo
 
 
@@ -43,9 +44,10 @@ def of_table(rows: DataFrame, path: str = "path", content: str = "content", orde
 
 
 def of_pseudo(spark: SparkSession, path: str) -> Snapshot:
-    """A snapshot of a pseudo-file, in its own order."""
+    """A snapshot of a pseudo-file, in its own order. Its metadata are kept, so that plans don't read the payload for them."""
     rows = read_pseudo(spark, path)
-    return Snapshot(rows.select("idx", "path", "size", "off", F.crc32("content").alias("crc"), F.sha2("content", 256).alias("sha")), _payload(rows))
+    entries = rows.select("idx", "path", "size", "off", F.crc32("content").alias("crc"), F.sha2("content", 256).alias("sha"))
+    return Snapshot(Scratch(spark, "pseudo").keep(entries), _payload(rows))
 
 
 def contents(wanted: DataFrame, payload: DataFrame, key: str, path: str = "path", sha: str = "sha", content: str = "content", how: str = "inner") -> DataFrame:

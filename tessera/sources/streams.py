@@ -61,6 +61,12 @@ def remove(path: str) -> None:
         place.delete_file(name)
 
 
+def remove_folder(path: str) -> None:
+    place, name = _resolve(path)
+    if place.get_file_info(name).type != fs.FileType.NotFound:
+        place.delete_dir(name)
+
+
 def files(path: str, suffix: str = "") -> list[str]:
     """The file at ``path``, or the files in the folder, in order."""
     place, name = _resolve(path)

@@ -130,3 +130,28 @@ def test_table_snapshot_of_odd_rows(spark):
     assert [(r["idx"], r["path"], r["size"], r["off"]) for r in s.entries.orderBy("idx").collect()] == [(0, "a", 2, 0), (1, "b", 0, 2)]
     empty = snapshots.of_table(df.where("false"))
     assert empty.entries.count() == 0 and empty.payload.count() == 0
+
+
+def test_pseudo_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """No content comes to the driver, and a plan of a read holds no entry."""
+    monkeypatch.setattr("tessera.sources.parts.ROWS", 8)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator", lambda *_, **__: 1 / 0)
+    data = [(i, f"d {i}\\x", bytes([i]) * (i * 7 % 50)) for i in range(100)]
+    path = str(tmp_path / "many")
+    df = spark.createDataFrame([(i, p, bytearray(c)) for i, p, c in reversed(data)], "idx bigint, path string, content binary")
+    n = pseudo.write_pseudo(df, path)
+    assert n == (tmp_path / "many").stat().st_size and [x.name for x in tmp_path.iterdir()] == ["many"]
+    monkeypatch.setattr(pseudo, "TASK_BYTES", 500)
+    plan = pseudo._Reader({"path": path}).partitions()
+    assert len(plan) > 5 and all(isinstance(x, (int, str)) for p in plan for x in vars(p).values())
+    got = [r for p in plan for b in pseudo._Reader({"path": path}).read(p) for r in b.to_pylist()]
+    assert [(r["idx"], r["path"], r["content"]) for r in got] == data
+    with open(path, "rb") as f:
+        assert pseudo.payload_start(path) == pseudo.read_manifest(f)[1]
+
+
+def test_a_failed_write_leaves_no_parts(spark, tmp_path):
+    bad = spark.createDataFrame([(0, "a\nb", bytearray(b"x"))], "idx bigint, path string, content binary")
+    with pytest.raises(Exception, match="line feed"):
+        pseudo.write_pseudo(bad, str(tmp_path / "bad"))
+    assert not list(tmp_path.iterdir())
