@@ -5,9 +5,9 @@ import struct
 import pytest
 
 from tessera.__main__ import main
-from tessera.operators import codec
+from tessera.operators import codec, stretches
 from tessera.plans import api, files
-from tessera.sources import headers, pseudo
+from tessera.sources import container, headers, pseudo
 
 SUPERBLOCK = struct.pack("<IIIIIHHHHHH", 0x73717368, 1, 1700000000, 131072, 0, 6, 17, 0x02D0, 1, 4, 0)
 OLD = {"a/x.1": b"old content " * 40, "a/y": b"same", "b": b""}
@@ -126,3 +126,40 @@ def test_command_line_takes_delta_files(spark, tmp_path, monkeypatch):
     assert main(["generate", "-s", old, "-t", new, "-d", delta, "--file", "--codec", "zstd-stream:5"]) == 0
     assert main(["apply", "-s", old, "-t", made, "-d", delta]) == 0 and read(spark, made) == NEW
     assert main(["generate", "-s", old, "-t", new, "-d", delta, "--codec", "nothing"]) == 1
+
+
+def test_containers_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """No record and no name comes to the driver, whether or not a container is read in stretches."""
+    old, new = write(spark, tmp_path / "old", OLD), write(spark, tmp_path / "new", NEW)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator", lambda *_, **__: 1 / 0)
+    monkeypatch.setattr("tessera.sources.pseudo.read_manifest", lambda *_: 1 / 0)
+    monkeypatch.setattr("tessera.sources.container.TASK_BYTES", 70)
+    files.generate_file(spark, old, new, str(tmp_path / "delta"), "zstd:3")
+    plan = container._Reader(str(tmp_path / "delta")).partitions()
+    assert len(plan) > 1 and all(isinstance(x, (int, str)) for p in plan for x in vars(p).values())
+    files.apply_file(spark, old, str(tmp_path / "delta"), str(tmp_path / "made"))
+    assert read(spark, tmp_path / "made") == NEW
+
+
+@pytest.mark.parametrize("name", ["zstd-stream:3", "store-stream"])
+def test_streams_of_any_size(spark, tmp_path, monkeypatch, name):
+    """Files larger than one patch may be are encoded by stretches, each by a task."""
+    old, new = write(spark, tmp_path / "old", OLD), write(spark, tmp_path / "new", NEW)
+    for module, limit, value in (("operators.stretches", "STRETCH", 100), ("operators.stretches", "REACH", 100), ("operators.stretches", "LIMIT", 200), ("plans.files", "LIMIT", 200)):
+        monkeypatch.setattr(f"tessera.{module}.{limit}", value, raising=True)
+    delta = str(tmp_path / "delta")
+    n = files.generate_file(spark, old, new, delta, name)
+    body = (tmp_path / "delta").read_bytes()
+    assert n == len(body) and body[32:40] == stretches.MAGIC
+    files.apply_file(spark, old, delta, str(tmp_path / "made"))
+    assert (tmp_path / "made").read_bytes() == (tmp_path / "new").read_bytes()
+    (tmp_path / "cut").write_bytes(body[:-1])
+    with pytest.raises(ValueError, match="malformed"):
+        files.apply_file(spark, old, str(tmp_path / "cut"), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists() and not list(tmp_path.glob("*.parts"))
+
+
+def test_stretches_cover_the_target():
+    for source, target in ((0, 1), (1, 100 << 20), (90 << 20, 100 << 20), (5, 0), (300 << 20, 20 << 20)):
+        found = stretches.cut(source, target)
+        assert sum(n for _, n, _, _ in found) == target and all(0 <= low and 0 <= n and low + n <= source for _, _, low, n in found)
