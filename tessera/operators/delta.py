@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,26 +14,20 @@ from ..sources.snapshots import Snapshot, contents
 COLUMNS = ["ti", "path", "kind", "status", "si", "s_path", "s_sha", "src_off", "src_size", "t_size", "t_sha", "codec", "patch", "patch_size"]
 
 
+# Plain functions of rows, not of pandas batches: a worker then holds the rows of a pickled batch (100 by default) and not
+# the contents of 10,000, and needs neither pandas nor Arrow.
+
+
 def _encoder(name: str):
     ship(SparkSession.active())
     encode = codec(name).encode
-
-    @F.pandas_udf("binary")
-    def run(source: pd.Series, target: pd.Series) -> pd.Series:
-        return pd.Series([encode(bytes(s), bytes(t)) for s, t in zip(source, target, strict=True)], dtype=object)
-
-    return run
+    return F.udf(lambda source, target: encode(bytes(source), bytes(target)), "binary", useArrow=False)
 
 
 def _decoder(name: str):
     ship(SparkSession.active())
     decode = codec(name).decode
-
-    @F.pandas_udf("binary")
-    def run(source: pd.Series, patch: pd.Series) -> pd.Series:
-        return pd.Series([decode(bytes(s), bytes(p)) for s, p in zip(source, patch, strict=True)], dtype=object)
-
-    return run
+    return F.udf(lambda source, patch: decode(bytes(source), bytes(patch)), "binary", useArrow=False)
 
 
 def generate(source: Snapshot, target: Snapshot, name: str = DEFAULT, mode: str = "best") -> DataFrame:
