@@ -23,16 +23,16 @@ def forward(target: DataFrame, source: DataFrame) -> DataFrame:
     return found.select(F.col("t_idx").alias("ti"), "path", F.col("s_idx").alias("si"), "behind", status(F.col("s_idx"), eff, F.col("t_size"), same).alias("status"))
 
 
-def plan(target: Snapshot, source: Snapshot, mode: str = "best") -> DataFrame:
+def plan(target: Snapshot, source: Snapshot, mode: str = "best", every: bool = False) -> DataFrame:
     """The delta plan, one row a target entry, without patches:
     (ti, path, kind, status, si, s_path, s_sha, src_off, src_size, t_size, t_sha).
 
     ``best`` matches by path and shape and calls entries identical by size and SHA-256. ``compat`` follows the
     forward reader and its size and CRC-32, but an entry behind the cursor is never identical: it is stored
-    whole, as a reader could not reach it.
+    whole, as a reader could not reach it. With ``every``, ``best`` has a row for each source entry of an entry's path.
     """
     t, s = target.entries, source.entries
-    matched = match.best(t, s) if mode == "best" else match.compat(t, s)
+    matched = match.best(t, s, every) if mode == "best" else match.compat(t, s)
     src = s.select(F.col("idx").alias("si"), F.col("path").alias("s_path"), F.col("off").alias("src_off"), F.col("size").alias("s_size"), F.col("crc").alias("s_crc"), F.col("sha").alias("s_sha"))
     tgt = t.select(F.col("idx").alias("ti"), F.col("size").alias("t_size"), F.col("crc").alias("t_crc"), F.col("sha").alias("t_sha"))
     rows = matched.join(tgt, "ti").join(src, "si", "left")

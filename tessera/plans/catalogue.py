@@ -36,8 +36,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> tuple[Snapshot, Snapshot]:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> tuple[Snapshot, Snapshot]:
+    """Addresses may repeat: pages of one address are in the order of their ids."""
     s, t = snapshots.pages_pair(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
-    return snapshots.of_table(s), snapshots.of_table(t)
+    return snapshots.of_table(s, order="page_id"), snapshots.of_table(t, order="page_id")
 
 
 _PATH = "concat(source, '/', lang, '/doc-', cast(doc_id as varchar(20)), {version}, '.txt')"
@@ -252,8 +253,9 @@ def set_new_common_removed(spark, sf_dir):
 
 @query(f"with recursive s as ({_manifest(_PS)}), t as ({_manifest(_PT)}){_BEST.split(_manifest(_T) + ')', 1)[1]} select ti, path, kind, status, si from planned")
 def pages_diff(spark, sf_dir):
+    """Every pair of pages with one address, as the join of its twin; a delta takes the last source page alone."""
     s, t = _pages(spark, sf_dir)
-    return classify.plan(t, s).select("ti", "path", "kind", "status", F.coalesce("si", F.lit(None)).alias("si"))
+    return classify.plan(t, s, every=True).select("ti", "path", "kind", "status", F.coalesce("si", F.lit(None)).alias("si"))
 
 
 def _round_trip(spark, sf_dir, name: str, mode: str = "best") -> DataFrame:

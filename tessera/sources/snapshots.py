@@ -90,6 +90,6 @@ def fixture_pair(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def pages_pair(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same idea over ``pages``, with the URL as the path."""
-    source = pages.where("page_id % 7 <> 3").select(F.col("url").alias("path"), F.col("html").alias("content"))
+    source = pages.where("page_id % 7 <> 3").select(F.col("url").alias("path"), F.col("html").alias("content"), "page_id")
     edited = F.when(F.col("page_id") % 4 == 1, F.concat("html", F.lit(" patched"))).otherwise(F.col("html"))
-    return source, pages.where("page_id % 11 <> 5").select(F.col("url").alias("path"), edited.alias("content"))
+    return source, pages.where("page_id % 11 <> 5").select(F.col("url").alias("path"), edited.alias("content"), "page_id")

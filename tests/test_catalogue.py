@@ -36,3 +36,16 @@ def test_entry(spark):
 
 def test_every_query_of_the_catalogue_has_a_twin():
     assert set(catalogue.QUERIES) == set(catalogue.SQL)
+
+
+def test_pages_diff_of_repeated_addresses(spark, tmp_path):
+    """A row for each pair of pages with one address. Which of such pages comes first, the twin's order leaves open, so
+    si and status aren't compared."""
+    rows = [(i, f"http://a/{i % 40}/x", f"text {i}") for i in range(60)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = contract.queries()["pages_diff"](spark, str(tmp_path)).select("ti", "path", "kind").collect()
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"select ti, path, kind from ({contract.oracle_sql()['pages_diff']}) where kind = 'exact'").fetchall()
+    assert sorted(tuple(r) for r in got if r["kind"] == "exact") == sorted(want)
+    assert len(want) > len({ti for ti, _, _ in want})
