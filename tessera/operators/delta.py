@@ -27,7 +27,8 @@ def _encoder(name: str):
 def _decoder(name: str):
     ship(SparkSession.active())
     decode = codec(name).decode
-    return F.udf(lambda source, patch: decode(bytes(source), bytes(patch)), "binary", useArrow=False)
+    # a null source is an entry that needs no decoder
+    return F.udf(lambda source, patch: None if source is None else decode(bytes(source), bytes(patch)), "binary", useArrow=False)
 
 
 def generate(source: Snapshot, target: Snapshot, name: str = DEFAULT, mode: str = "best") -> DataFrame:
@@ -51,9 +52,10 @@ def apply(delta: DataFrame, source: Snapshot, name: str = DEFAULT) -> DataFrame:
     met = contents(delta, source.payload, "ti", "s_path", "s_sha", "_s", "left")
     missing = F.col("s_path").isNotNull() & F.col("_s").isNull()
     base = F.when(missing, F.raise_error(F.concat(F.lit("no source entry "), F.col("s_path"))).cast("binary")).otherwise(F.coalesce("_s", F.lit(b"")))
-    same = met.where("status = 'identical'").select(F.col("ti").alias("idx"), "path", base.alias("content"))
-    changed = met.where("status <> 'identical'").select(F.col("ti").alias("idx"), "path", _decoder(name)(base, F.col("patch")).alias("content"))
-    return same.unionByName(changed)
+    # in one pass: two branches would each join the whole delta to the contents
+    same = F.col("status") == "identical"
+    content = F.when(same, base).otherwise(_decoder(name)(F.when(~same, base), F.when(~same, F.col("patch"))))
+    return met.select(F.col("ti").alias("idx"), "path", content.alias("content"))
 
 
 def verify(rebuilt: DataFrame, target: DataFrame) -> DataFrame:

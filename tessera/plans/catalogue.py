@@ -343,10 +343,10 @@ _REPEATED = f"with s as ({_ordered_manifest(_AGAIN.format(_S))}), t as ({_ordere
 def _repeated(spark, sf_dir) -> tuple[Snapshot, Snapshot]:
     def again(rows: DataFrame) -> Snapshot:
         n = F.regexp_extract("path", "doc-([0-9]+)", 1).cast("bigint")
-        one = rows.select("path", "content", F.lit(0).alias("version"))
-        two = rows.where(n % 3 == 0).select("path", F.concat("content", F.lit(" again")).alias("content"), F.lit(1).alias("version"))
-        three = rows.where(n % 9 == 0).select("path", "content", F.lit(2).alias("version"))
-        return snapshots.of_table(one.unionByName(two).unionByName(three), order="version")
+        versions = [F.array(*map(F.lit, range(k))) for k in (3, 2, 1)]
+        each = rows.select("path", "content", F.explode(F.when(n % 9 == 0, versions[0]).when(n % 3 == 0, versions[1]).otherwise(versions[2])).alias("version"))
+        content = F.when(F.col("version") == 1, F.concat("content", F.lit(" again"))).otherwise(F.col("content"))
+        return snapshots.of_table(each.select("path", content.alias("content"), "version"), order="version")
 
     s, t = snapshots.fixture_pair(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"))
     return again(s), again(t)

@@ -38,8 +38,11 @@ def of_table(rows: DataFrame, path: str = "path", content: str = "content", orde
     body = F.coalesce(F.col(content).cast("binary"), F.lit(b""))
     more = [F.col(order).alias("_order")] if order else []
     kept = rows.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), body.alias("content"), *more)
-    hashed = kept.select("path", F.octet_length("content").cast("bigint").alias("size"), F.crc32("content").alias("crc"), F.sha2("content", 256).alias("sha"), *["_order"] * bool(order))
+    metadata = kept.select("path", F.octet_length("content").cast("bigint").alias("size"), F.crc32("content").alias("crc"), F.sha2("content", 256).alias("sha"), *["_order"] * bool(order))
+    scratch = Scratch(rows.sparkSession, "hashed")
+    hashed = scratch.keep(metadata)  # else the sample that finds the ranges would read and hash every content once more
     entries = index_by(hashed, ["path", "_order" if order else "sha"], "idx", {"off": "size"})
+    scratch.drop(hashed)
     return Snapshot(entries.select("idx", "path", "size", "off", "crc", "sha"), _payload(kept))
 
 
@@ -51,9 +54,15 @@ def of_pseudo(spark: SparkSession, path: str) -> Snapshot:
 
 
 def contents(wanted: DataFrame, payload: DataFrame, key: str, path: str = "path", sha: str = "sha", content: str = "content", how: str = "inner") -> DataFrame:
-    """``wanted``, in which ``key`` is different in every row, with the ``content`` that its path and checksum name."""
-    named = payload.select(F.col("path").alias(path), F.col("sha").alias(sha), F.col("content").alias(content))
-    return wanted.join(named, [path, sha], how).dropDuplicates([path, sha, key])
+    """``wanted``, in which ``key`` is different in every row, with the ``content`` that its path and checksum name.
+
+    Equal payload rows become one before the join, so that copies don't multiply. A row without a path meets no content; such
+    rows are dealt by their key, as one task would get them all by their nulls.
+    """
+    named = payload.select(F.col("path").alias("_path"), F.col("sha").alias("_sha"), F.col("content").alias(content))
+    once = named.repartition("_path", "_sha").dropDuplicates(["_path", "_sha"])  # dealt as the join needs it, and once
+    dealt = wanted.select("*", F.coalesce(path, F.col(key).cast("string")).alias("_at"), F.when(F.col(path).isNotNull(), F.col(sha)).alias("_named"))
+    return dealt.join(once, (F.col("_at") == F.col("_path")) & (F.col("_named") == F.col("_sha")), how).select(*wanted.columns, content)
 
 
 def of_parquet(spark: SparkSession, path: str) -> Snapshot:

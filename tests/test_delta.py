@@ -200,3 +200,42 @@ def test_workers_get_rows_not_pandas_batches(spark, mode):
 
     walked = match.compat(t.entries, s.entries)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in walked and "Pandas" not in walked
+
+
+def test_entries_without_a_source_are_dealt_to_many_tasks(spark):
+    """They have no path to be joined by, and one task would get, and encode, them all."""
+    payload = spark.createDataFrame([("7", "7", bytearray(b"a")), ("b", "7", bytearray(b"b"))], "path string, sha string, content binary")
+    wanted = spark.range(400).selectExpr("id as ti", "if(id = 3, 'b', cast(null as string)) as s_path", "if(id < 9, '7', cast(null as string)) as s_sha")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = snapshots.contents(wanted, payload, "ti", "s_path", "s_sha", "c", "left").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sorted(r["ti"] for r in got) == list(range(400))
+    assert {r["ti"]: bytes(r["c"]) for r in got if r["c"] is not None} == {3: b"b"}  # entry 7 isn't the path "7"
+    assert len({r["task"] for r in got}) > 1
+
+
+def test_copies_meet_their_content_once(spark):
+    """Equal payload rows are one before they are joined: no pairs of every entry and every copy."""
+    rows = spark.range(300).selectExpr("'a' as path", "encode('same', 'utf-8') as content", "id as v")
+    s = snapshots.of_table(rows, order="v")
+    found = snapshots.contents(s.entries, s.payload, "idx")
+    assert found.count() == 300 and found.where("content = encode('same', 'utf-8')").count() == 300
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate [")
+
+
+def test_apply_joins_the_source_once(spark):
+    _, _, s, t = pair(spark, 10)
+    plan = delta.apply(delta.generate(s, t), s)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2  # one to encode and one to decode
+
+
+def test_contents_are_hashed_once(spark):
+    """The sample that finds the ranges of an index reads metadata, not the contents again."""
+    read = spark.sparkContext.accumulator(0)
+    text = F.udf(lambda i: read.add(1) or str(i), "string", useArrow=False).asNondeterministic()
+    s = snapshots.of_table(spark.range(50).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), text("id").alias("content")))
+    assert read.value == 50 and s.entries.count() == 50
