@@ -32,7 +32,11 @@ def join_path(*parts: Column) -> Column:
     return F.concat_ws("/", *parts)
 
 
+def differing(a: Column, b: Column) -> Column:
+    """How many components differ between paths of one shape."""
+    return F.size(F.filter(F.zip_with(components(a), components(b), lambda x, y: x != y), lambda d: d))
+
+
 def fuzzy_match(a: Column, b: Column) -> Column:
     """0 if the shapes differ, 1 if the paths are equal, 1 + k if k components differ in digits only."""
-    differing = F.size(F.filter(F.zip_with(components(a), components(b), lambda x, y: x != y), lambda d: d))
-    return F.when(shape(a) == shape(b), 1 + differing).otherwise(0)
+    return F.when(shape(a) == shape(b), 1 + differing(a, b)).otherwise(0)

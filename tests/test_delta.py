@@ -239,3 +239,15 @@ def test_contents_are_hashed_once(spark):
     text = F.udf(lambda i: read.add(1) or str(i), "string", useArrow=False).asNondeterministic()
     s = snapshots.of_table(spark.range(50).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), text("id").alias("content")))
     assert read.value == 50 and s.entries.count() == 50
+
+
+def test_a_check_of_damaged_entries_meets_the_source_twice(spark, tiny):
+    """Once to encode and once to decode; and shapes are made of entries, not of pairs of them."""
+    from tessera.operators import match
+    from tessera.plans import catalogue
+
+    plan = catalogue.QUERIES["verify_mismatches"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2
+    _, _, s, t = pair(spark, 11)
+    pairs = match.candidates(t.entries, s.entries)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in pairs[: pairs.index("Join Inner")]
